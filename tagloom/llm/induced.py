@@ -21,6 +21,10 @@ import numpy as np
 from tagloom.llm.common import RangeHash, mix
 
 
+#: More than any common prefix.
+FAR = np.iinfo(np.int32).max
+
+
 class SymbolQueue:
     """First-in-first-out lists of (suffix, common prefix) by symbol; over `budget` held entries, lists move to files."""
 
@@ -50,9 +54,9 @@ class SymbolQueue:
         parts = self.lists.pop(symbol, [])
         self.held -= sum(map(len, parts))
         if path := self.files.pop(symbol, None):
-            parts.insert(0, np.fromfile(path, np.int64).reshape(-1, 2))
+            parts.insert(0, np.fromfile(path, np.int32).reshape(-1, 2))
             os.unlink(path)
-        return np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+        return np.concatenate(parts) if parts else np.zeros((0, 2), np.int32)
 
     def close(self) -> None:
         if self.folder is not None:
@@ -76,7 +80,7 @@ class _Scan:
     def __init__(self, text: np.ndarray, budget: int):
         self.text, self.queue = text, SymbolQueue(budget)
         self.since: dict[int, int] = {}  # least common prefix since the last entry put under a symbol
-        self.lowest = np.iinfo(np.int64).max
+        self.lowest = FAR
 
     def induce(self, suffixes: np.ndarray, shared: np.ndarray, wanted: np.ndarray) -> None:
         """Put what each suffix induces; wanted: whether the suffix one longer belongs to this pass."""
@@ -84,7 +88,7 @@ class _Scan:
             return
         for symbol in self.since:
             self.since[symbol] = min(self.since[symbol], self.lowest)
-        self.lowest = np.iinfo(np.int64).max
+        self.lowest = FAR
         at = np.flatnonzero(wanted)
         total = int(shared.min())
         if len(at):
@@ -96,17 +100,17 @@ class _Scan:
             for group in np.split(order, cuts):
                 symbol = int(symbols[group[0]])
                 where = at[group]
-                least = np.zeros(0, np.int64)
+                least = np.zeros(0, np.int32)
                 if len(where) > 1:  # each range runs from behind the last entry to this one
                     steps = np.empty(2 * (len(where) - 1), np.int64)
                     steps[0::2], steps[1::2] = where[:-1] + 1, where[1:] + 1
-                    padded = np.append(shared, np.iinfo(np.int64).max)
+                    padded = np.append(shared, np.int32(FAR))
                     least = np.minimum.reduceat(padded, steps)[0::2]
                 head = min(self.since.get(symbol, -1), int(shared[: where[0] + 1].min())) if symbol in self.since else -1
-                lcp = np.append(head, least) + 1
+                lcp = np.append(np.int32(head), least) + np.int32(1)
                 self.queue.put(symbol, np.column_stack([before[group], lcp]))
                 tail = shared[where[-1] + 1 :]
-                touched[symbol] = int(tail.min()) if len(tail) else np.iinfo(np.int64).max
+                touched[symbol] = int(tail.min()) if len(tail) else FAR
             for symbol in self.since:
                 if symbol not in touched:
                     self.since[symbol] = min(self.since[symbol], total)
@@ -118,6 +122,7 @@ class _Scan:
 def _induced(text: np.ndarray, up: np.ndarray, runs: np.ndarray, seeds: np.ndarray, seed_shared: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, with the prefix each shares with the one before, from ordered seeds."""
     n = len(text)
+    seeds, seed_shared, runs = (x.astype(np.int32) for x in (seeds, seed_shared, runs))
     symbols = np.flatnonzero(np.bincount(text))
     seed_symbols = text[seeds]
     bounds = np.searchsorted(seed_symbols, symbols), np.searchsorted(seed_symbols, symbols, "right")
@@ -137,7 +142,7 @@ def _induced(text: np.ndarray, up: np.ndarray, runs: np.ndarray, seeds: np.ndarr
                 taken.append(entries[:, 0])
                 shares.append(entries[:, 1])
                 scan.induce(entries[:, 0], entries[:, 1], before_falls[entries[:, 0]])
-            own = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+            own = np.concatenate(taken) if taken else np.zeros(0, np.int32)
             lists[c] = own, (np.concatenate(shares) if shares else own)
             if hi > lo:
                 shared = seed_shared[lo:hi].copy()
@@ -147,13 +152,13 @@ def _induced(text: np.ndarray, up: np.ndarray, runs: np.ndarray, seeds: np.ndarr
         scan.queue.close()
     # Downwards; each entry's value is the prefix it shares with the one before it in this pass, its upper neighbour.
     scan = _Scan(text, budget)
-    out, common = np.empty(n, np.int64), np.zeros(n, np.int64)
+    out, common = np.empty(n, np.int32), np.zeros(n, np.int32)
     end = n
     try:
         for c in symbols[::-1].tolist():
             taken, shares, first = [], [], True
             if c == symbols[0]:  # the last symbol of all is a seed by itself
-                scan.queue.put(c, np.array([[n - 1, 0]]))
+                scan.queue.put(c, np.array([[n - 1, 0]], np.int32))
             while len(entries := scan.queue.take(c)):
                 entries = entries.copy()
                 if first:
@@ -162,11 +167,11 @@ def _induced(text: np.ndarray, up: np.ndarray, runs: np.ndarray, seeds: np.ndarr
                 taken.append(entries[:, 0])
                 shares.append(entries[:, 1])
                 scan.induce(entries[:, 0], entries[:, 1], before_rises[entries[:, 0]])
-            rise = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+            rise = np.concatenate(taken) if taken else np.zeros(0, np.int32)
             rise_shared = np.concatenate(shares) if shares else rise
             fall, fall_shared = lists.pop(c)
             if len(fall):
-                shared = np.append(0, fall_shared[:0:-1])
+                shared = np.append(np.int32(0), fall_shared[:0:-1])
                 shared[0] = min(runs[fall[-1]], runs[rise[-1]]) if len(rise) else 0
                 scan.induce(fall[::-1], shared, before_rises[fall[::-1]])
             k = len(rise)
@@ -220,7 +225,7 @@ def suffix_order(text: np.ndarray, limit: int, budget: int = 1 << 20, short: int
     the one before it, exact up to `limit` and at least that beyond. budget: queue entries in memory; short: length from which names are sorted by recursion."""
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+        return np.zeros(1, np.int32), np.zeros(1, np.int32)
     up, runs = _rising(text)
     turning = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     if len(turning) < 2:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import BYTE_VALUES, U64, RangeHash, chunks, mix, ranges, text_bytes, word_spans, word_values
 
-SEGMENTS = "anchor long, settled boolean, segment long, key long, start int, windows int"
+SEGMENTS = "anchor long, segment long, key long, start int"
 REQUESTS = "anchor long, salt int, spread boolean, key long, start int, windows int, content binary"
 FINDINGS = "window_a long, window_b long, key long, start int, windows int"
 
@@ -42,7 +42,12 @@ class Windows:
     gram: int
     words: bool
     within: bool
-    group_limit: int = 1000
+    group_limit: int = 250
+
+    @property
+    def count_bits(self) -> int:
+        """Bits of a segment's hash that hold its number of windows."""
+        return (self.width - self.gram + 1).bit_length()
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A value for each token, and where each text's tokens begin."""
@@ -53,11 +58,11 @@ class Windows:
 
 
 def segments(values: np.ndarray, offsets: np.ndarray, spec: Windows) -> dict[str, np.ndarray]:
-    """The segments of the texts whose tokens lie between offsets: text, start (in the text), windows, anchor, segment."""
+    """The segments of the texts whose tokens lie between offsets: text, start (in the text), anchor, segment (hash and number of windows)."""
     w, k = spec.width, spec.gram
     first, lengths = offsets[:-1], np.maximum(np.diff(offsets) - w + 1, 0)
     if not lengths.sum():
-        return {n: np.zeros(0, np.int64) for n in ("text", "start", "windows", "anchor", "segment")}
+        return {n: np.zeros(0, np.int64) for n in ("text", "start", "anchor", "segment")}
     hashed = RangeHash(values)
     grams = hashed.each(k)
     places = U64((1 << int(len(values)).bit_length()) - 1)
@@ -79,9 +84,8 @@ def segments(values: np.ndarray, offsets: np.ndarray, spec: Windows) -> dict[str
     return {
         "text": text,
         "start": begin - first[text],
-        "windows": count,
         "anchor": grams[at[where]].view(np.int64),
-        "segment": (hashed.of(begin, begin + count + w - 1) ^ U64(0x5851F42D4C957F2D)).view(np.int64),
+        "segment": (hashed.of(begin, begin + count + w - 1) << U64(spec.count_bits) | count.astype(U64)).view(np.int64),
     }
 
 
@@ -111,17 +115,14 @@ def _segment_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 same &= rows["start"] == rows["start"][leader]
             # what is settled needs no meeting: any place will do, so spread it
             spread = mix(rows["anchor"].view(U64) ^ mix(rows["key"].view(U64) + rows["start"].astype(U64))).view(np.int64)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.where(same, rows["anchor"], spread)),
-                    pa.array(~same),
-                    pa.array(rows["segment"]),
-                    pa.array(rows["key"]),
-                    pa.array(rows["start"].astype(np.int32)),
-                    pa.array(rows["windows"].astype(np.int32)),
-                ],
-                names=["anchor", "settled", "segment", "key", "start", "windows"],
-            )
+            columns = [
+                np.where(same, rows["anchor"], spread),
+                rows["segment"],
+                rows["key"],
+                np.where(same, rows["start"], -1 - rows["start"]).astype(np.int32),
+            ]
+            by_text = np.argsort(order)  # neighbouring rows of one text compress well
+            out = pa.RecordBatch.from_arrays([pa.array(c[by_text]) for c in columns], names=["anchor", "segment", "key", "start"])
             for at in range(0, out.num_rows, 50_000):
                 yield out.slice(at, 50_000)
 
@@ -130,22 +131,24 @@ def _segment_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 def _compared(rows: DataFrame, spec: Windows) -> DataFrame:
     """key, start, windows and, for segments that must be compared in full, the anchor, else null."""
-    group = Window.partitionBy("anchor", "settled")
-    kind = Window.partitionBy("anchor", "settled", "segment")
+    group = Window.partitionBy("anchor")
+    kind = Window.partitionBy("anchor", "segment")
     place = F.struct("key", "start") if spec.within else F.struct("key")
     met = rows.withColumns({
         "n": F.count(F.lit(1)).over(group),
         "mixed": F.min("segment").over(group) != F.max("segment").over(group),
-    }).where("settled or n > 1")
-    met = met.withColumn("first", place == F.min(place).over(kind))
-    kept = met.where("settled or mixed or not first").withColumn("full", F.expr("not settled and first"))
+    }).where("start < 0 or n > 1")
+    met = met.withColumn("first", (F.col("start") >= 0) & (place == F.min(F.when(F.col("start") >= 0, place)).over(kind)))
+    kept = met.where("start < 0 or mixed or not first").withColumn("full", F.expr("start >= 0 and first"))
     asks = F.count_if("full").over(group)
-    spread = asks > spec.group_limit
+    chunk = 1 + F.pmod(F.xxhash64("key", "start"), F.ceil(asks / F.lit(spec.group_limit)))
     return kept.select(
-        "key", "start", "windows",
+        "key",
+        F.when(F.col("start") < 0, -1 - F.col("start")).otherwise(F.col("start")).alias("start"),
+        F.col("segment").bitwiseAND(F.lit((1 << spec.count_bits) - 1)).cast("int").alias("windows"),
         F.when(F.col("full"), F.col("anchor")).alias("anchor"),
-        F.when(F.col("full") & spread, 1 + F.pmod(F.xxhash64("key", "start"), F.ceil(asks / F.lit(spec.group_limit)))).otherwise(0).cast("int").alias("salt"),
-    )
+        F.when(F.col("full") & (asks > spec.group_limit), chunk).otherwise(0).cast("int").alias("salt"),
+    )
 
 
 def _contents(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -181,7 +184,7 @@ def _contents(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 _REQUEST_SCHEMA = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("spread", pa.bool_()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("content", pa.binary())])
 
 #: A shard of whole groups is resolved once it holds so many bytes.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 
 Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -205,14 +208,13 @@ def _resolved(spec: Windows, resolve: Resolver) -> Callable[[Iterator[pa.RecordB
         later = k != k[leader]
         if spec.within:
             later |= p != p[leader]
-        none = np.zeros(int(later.sum()), np.int64)
-        yield from _findings(none, none, k[later], p[later])
+        yield from _findings(k[later], p[later])
         spread = table.column("spread").to_numpy(zero_copy_only=False)[o] & ~later
         if spread.any():
             at = windows[order][spread]
             one = RangeHash(values).of(at, at + spec.width)
             two = RangeHash(mix(values ^ U64(0x2545F4914F6CDD1D))).of(at, at + spec.width)
-            yield from _findings(one.view(np.int64), two.view(np.int64) | 1, k[spread], p[spread], merge=False)
+            yield from _candidates(one.view(np.int64), two.view(np.int64) | 1, k[spread], p[spread])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -241,18 +243,23 @@ def _resolved(spec: Windows, resolve: Resolver) -> Callable[[Iterator[pa.RecordB
     return run
 
 
-def _findings(a: np.ndarray, b: np.ndarray, key: np.ndarray, start: np.ndarray, merge: bool = True) -> Iterator[pa.RecordBatch]:
-    """Rows of FINDINGS; with merge, neighbouring starts become one row."""
-    count = np.ones(len(key), np.int64)
-    if merge and len(key):
-        order = np.lexsort((start, key))
-        key, start = key[order], start[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)
-        at = np.flatnonzero(new)
-        ends = start[np.append(at[1:] - 1, len(start) - 1)]
-        key, start = key[at], start[at]
-        count, a, b = ends - start + 1, a[: len(at)], b[: len(at)]
+def _findings(key: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows that occur earlier as rows of FINDINGS, one for neighbouring starts."""
+    if not len(key):
+        return
+    order = np.lexsort((start, key))
+    key, start = key[order], start[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)
+    at = np.flatnonzero(new)
+    ends = start[np.append(at[1:] - 1, len(start) - 1)]
+    key, start = key[at], start[at]
+    anywhere = mix(key.view(U64) ^ mix(start.view(U64))).view(np.int64)
+    yield from _candidates(anywhere, np.zeros(len(key), np.int64), key, start, ends - start + 1)
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    count = np.ones(len(key), np.int64) if count is None else count
     for i in range(0, len(key), 50_000):
         j = slice(i, i + 50_000)
         yield pa.RecordBatch.from_arrays(
@@ -262,7 +269,7 @@ def _findings(a: np.ndarray, b: np.ndarray, key: np.ndarray, start: np.ndarray,
 
 
 def repeated_windows(texts: DataFrame, spec: Windows, resolve: Resolver) -> DataFrame:
-    """texts (key, doc_id, text) with `gone`: the windows of each text that occur earlier, as an array of (start, windows).
+    """texts (key, doc_id, text) with `gone`: the windows of each text that occur earlier, as an array of (start, windows); `asked` is what was compared for that.
 
     texts has key (not null; smaller keys are earlier), doc_id and text (not null). Rows that share a key are one document.
     """
@@ -276,22 +283,21 @@ def repeated_windows(texts: DataFrame, spec: Windows, resolve: Resolver) -> Data
             F.collect_list(F.when(F.col("anchor").isNotNull(), F.struct("anchor", "salt", "start", "windows"))).alias("asked"),
         )
     )
-    held = texts.join(by_text, "key", "left")
-    wanted = held.where(F.size("asked") > 0).select("key", "text", "asked").mapInArrow(_contents(spec), REQUESTS)
+    # Both uses of `held` take all of its columns: so the texts are shuffled once and the exchange is used twice.
+    held = texts.join(by_text, "key", "left").select("key", "doc_id", "text", "gone", "asked")
+    wanted = held.where(F.size("asked") > 0).mapInArrow(_contents(spec), REQUESTS)
     found = (
         wanted.repartition(int(parts), "anchor", "salt")
         .sortWithinPartitions("anchor", "salt", "key", "start")
         .mapInArrow(_resolved(spec, resolve), FINDINGS)
     )
     place = F.struct("key", "start") if spec.within else F.struct("key")
-    candidates = found.where("window_b != 0").withColumn("first", F.min(place).over(Window.partitionBy("window_a", "window_b")))
-    late = candidates.where(place != F.col("first")).select("key", "start", "windows")
-    more = found.where("window_b = 0").select("key", "start", "windows").unionByName(late)
-    more = more.groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("more"))
+    met = found.withColumn("first", F.min(place).over(Window.partitionBy("window_a", "window_b")))
+    late = met.where((F.col("window_b") == 0) | (place != F.col("first")))
+    more = late.groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("more"))
     none = F.array().cast("array<struct<start:int,windows:int>>")
-    return held.join(more, "key", "left").select(
-        "key", "doc_id", "text", F.concat(F.coalesce("gone", none), F.coalesce("more", none)).alias("gone")
-    )
+    gone = F.concat(F.coalesce("gone", none), F.coalesce("more", none)).alias("gone")
+    return held.join(more, "key", "left").select("key", "doc_id", "text", gone, "asked")
 
 
 def covered(gone: np.ndarray, counts: np.ndarray, n: int, width: int) -> np.ndarray:

@@ -26,10 +26,10 @@ QUEUE_ENTRIES = 2 << 20
 def _resolve(width: int):
     def run(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray, owner: np.ndarray) -> np.ndarray:
         count = len(offsets) - 1
-        text = np.ones(len(data) + count + 1, np.int64)  # 0 ends the shard, 1 ends a segment, a byte b is b + 2
+        text = np.ones(len(data) + count + 1, np.uint16)  # 0 ends the shard, 1 ends a segment, a byte b is b + 2
         text[-1] = 0
         shift = np.repeat(np.arange(count), np.diff(offsets))
-        text[np.arange(len(data)) + shift] = data.astype(np.int64) + 2
+        text[np.arange(len(data)) + shift] = data.astype(np.uint16) + 2
         order, shared = suffix_order(text, width, QUEUE_ENTRIES)
         number = np.empty(len(text), np.int64)
         number[order] = np.cumsum(shared < width)

@@ -12,12 +12,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +26,13 @@ from tagloom.llm.common import BYTE_VALUES, U64, RangeHash, chunks, documents, r
 # Unicode's White_Space, and the contractions of the split pattern by their length.
 WHITE_SPACE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
+# Letters and numbers that Unicode 16 added; Python's own table may be older.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 
 LETTER, NUMBER, OTHER, QUOTE_1, QUOTE_2, SPACES, LAST_BLANK, LAST_SPACE = range(8)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, PREFIX, ONE_MORE, TWO_MORE = range(8)
@@ -43,12 +50,11 @@ NONE = np.int32(2**31 - 1)
 @lru_cache
 def _classes() -> np.ndarray:
     """By code point: LETTER, NUMBER, OTHER or SPACES (LAST_BLANK for the blank)."""
-    out = np.full(0x110000, OTHER, np.uint8)
-    points = np.delete(np.arange(0x110000, dtype=np.uint32), np.s_[0xD800:0xE000])
-    every = points.astype("<u4").tobytes().decode("utf-32-le")
-    for kind, name in ((LETTER, "L"), (NUMBER, "N")):  # the library has newer Unicode tables than unicodedata; texts are never matched with it
-        for run in regex.finditer(rf"\p{{{name}}}+", every):
-            out[points[run.start() : run.end()]] = kind
+    kinds = {"L": LETTER, "N": NUMBER}
+    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    for kind, added in ((LETTER, LETTERS_16), (NUMBER, NUMBERS_16)):
+        for first, last in added:
+            out[first : last + 1] = kind
     out[WHITE_SPACE] = SPACES
     out[0x20] = LAST_BLANK
     return out

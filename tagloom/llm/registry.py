@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import substring_dedup, suffix_array_dedup
+from tagloom.llm import byte_bpe, mixing, ogg, simhash_dedup, substring_dedup, suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": byte_bpe.query,
+    "op2_mixing": mixing.query,
     "op5_substring_dedup": substring_dedup.query,
+    "op8_ogg": ogg.query,
     "op9_suffix_array_dedup": suffix_array_dedup.query,
+    "op10_simhash_dedup": simhash_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

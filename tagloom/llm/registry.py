@@ -6,15 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import byte_bpe, mixing, ogg, simhash_dedup, substring_dedup, suffix_array_dedup
+from tagloom.llm import (
+    byte_bpe,
+    exact_topk,
+    language_id,
+    mixing,
+    ogg,
+    quotation_linking,
+    simhash_dedup,
+    substring_dedup,
+    suffix_array_dedup,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
     "op2_mixing": mixing.query,
+    "op3_exact_topk": exact_topk.query,
+    "op4_language_id": language_id.query,
     "op5_substring_dedup": substring_dedup.query,
+    "op6_quotation_linking": quotation_linking.query,
+    "op7_toxicity": toxicity.query,
     "op8_ogg": ogg.query,
     "op9_suffix_array_dedup": suffix_array_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": exact_topk.ORACLE,
+}

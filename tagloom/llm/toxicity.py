@@ -25,7 +25,7 @@ DIMENSIONS = 1 << 18
 #: Hashed features: the word itself and its first four, five and six letters (compounds begin alike).
 PREFIXES = (4, 5, 6)
 #: The chain is fitted to so many labelled rows at most, about (by the hash of the id), with so many features for each category.
-TRAINING_ROWS, FEATURES = 12_000, 1024
+TRAINING_ROWS, FEATURES = 12_000, 512
 FOLDS, ROUNDS, RIDGE = 3, 200, 1e-3
 PIECE_BYTES = 4 << 20
 
@@ -51,6 +51,14 @@ def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(texts), (np.concatenate(found) % U64(DIMENSIONS)).astype(np.int64)
 
 
+def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, count), each pair once, sorted."""
+    text, feature = features_of(data, offsets)
+    pair, count = np.unique(text * DIMENSIONS + feature, return_counts=True)
+    text, feature = np.divmod(pair, DIMENSIONS)
+    return text, feature, count
+
+
 @dataclass
 class Linear:
     """Logistic regression on log(1 + count) of chosen features, and on the probabilities before it in the chain."""
@@ -60,46 +68,49 @@ class Linear:
     earlier: np.ndarray
     bias: float
 
-    def scores(self, rows: int, text: np.ndarray, feature: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def columns(self, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which features are the model's, and their places."""
         place = np.searchsorted(self.features, feature)
         hit = place < len(self.features)
         hit[hit] = self.features[place[hit]] == feature[hit]
-        pair, count = np.unique(text[hit] * max(1, len(self.features)) + place[hit], return_counts=True)
-        owner, column = np.divmod(pair, max(1, len(self.features)))
-        total = np.bincount(owner, self.weights[column] * np.log1p(count), rows)
+        return hit, place[hit]
+
+    def scores(self, rows: int, text: np.ndarray, feature: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
+        hit, column = self.columns(feature)
+        total = np.bincount(text[hit], self.weights[column] * np.log1p(count[hit]), rows)
         return 1 / (1 + np.exp(-np.clip(total + before @ self.earlier + self.bias, -40, 40)))
 
 
-def fit(rows: int, text: np.ndarray, feature: np.ndarray, before: np.ndarray, label: np.ndarray) -> Linear:
-    """By the features whose share differs most between the classes (in standard errors), and Adam on the mean log loss with a small ridge; nothing in it is random."""
-    seen = np.unique(text * DIMENSIONS + feature)
-    owner, own = np.divmod(seen, DIMENSIONS)
-    positive = max(1, int(label.sum()))
-    negative = max(1, rows - int(label.sum()))
-    yes, every = np.bincount(own, label[owner], DIMENSIONS), np.bincount(own, minlength=DIMENSIONS)
-    share = every / max(1, rows)
+def telling(rows: int, positive: int, yes: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """The features whose shares among positive and other rows differ most, in standard errors; yes, every: rows by feature."""
+    negative = rows - positive
+    if not positive or not negative:
+        return np.zeros(0, np.int64)
+    share = every / rows
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / negative))
     z = np.where(every >= 3, np.abs(yes / positive - (every - yes) / negative) / error, 0)
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    chosen = chosen[z[chosen] > 3]
-    place = np.searchsorted(chosen, feature)
-    hit = place < len(chosen)
-    hit[hit] = chosen[place[hit]] == feature[hit]
-    pair, count = np.unique(text[hit] * max(1, len(chosen)) + place[hit], return_counts=True)
-    owner, column = np.divmod(pair, max(1, len(chosen)))
-    value = np.log1p(count)
-    prior = np.log(positive / negative)
-    w, shift = np.zeros(len(chosen) + before.shape[1]), prior
+    return chosen[z[chosen] > 3]
+
+
+def fit(features: np.ndarray, rows: int, text: np.ndarray, feature: np.ndarray, count: np.ndarray, before: np.ndarray, label: np.ndarray) -> Linear:
+    """Adam on the mean log loss with a small ridge; nothing in it is random."""
+    model = Linear(features, np.zeros(len(features)), np.zeros(before.shape[1]), 0.0)
+    hit, column = model.columns(feature)
+    owner, value = text[hit], np.log1p(count[hit])
+    k, most = len(features), max(1, rows)
+    w = np.zeros(k + before.shape[1])
+    shift = np.log((label.sum() + 0.5) / (rows - label.sum() + 0.5))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, ROUNDS + 1):
-        total = np.bincount(owner, w[: len(chosen)][column] * value, rows) + before @ w[len(chosen) :] + shift
-        off = (1 / (1 + np.exp(-np.clip(total, -40, 40))) - label) / max(1, rows)
-        slope = np.concatenate([np.bincount(column, off[owner] * value, len(chosen)), before.T @ off])
-        slope = np.append(slope + RIDGE / max(1, rows) * w, off.sum())
+        total = np.bincount(owner, w[:k][column] * value, rows) + before @ w[k:] + shift
+        off = (1 / (1 + np.exp(-np.clip(total, -40, 40))) - label) / most
+        slope = np.concatenate([np.bincount(column, off[owner] * value, k), before.T @ off]) + RIDGE / most * w
+        slope = np.append(slope, off.sum())
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, shift = w - move[:-1], shift - move[-1]
-    return Linear(chosen, w[: len(chosen)], w[len(chosen) :], float(shift))
+    return Linear(features, w[:k], w[k:], float(shift))
 
 
 @dataclass
@@ -107,72 +118,102 @@ class Chain:
     names: list[str]
     models: list[Linear] = field(default_factory=list)
 
-    def probabilities(self, rows: int, text: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    def probabilities(self, rows: int, text: np.ndarray, feature: np.ndarray, count: np.ndarray) -> np.ndarray:
         """rows x categories."""
         out = np.zeros((rows, 0))
         for model in self.models:
-            out = np.column_stack([out, model.scores(rows, text, feature, out)])
+            out = np.column_stack([out, model.scores(rows, text, feature, count, out)])
         return out
 
 
-def fit_chain(names: list[str], fold: np.ndarray, text: np.ndarray, feature: np.ndarray, labels: np.ndarray) -> Chain:
-    """labels: rows x categories. Each category's model is fitted to all rows, on the out-of-fold probabilities of the earlier categories."""
+def fit_chain(names: list[str], chosen: list[list[np.ndarray]], fold: np.ndarray, text: np.ndarray, feature: np.ndarray, count: np.ndarray, labels: np.ndarray) -> Chain:
+    """labels: rows x categories. chosen: for each category the features for each left-out fold, and for all rows.
+
+    Each category's model is fitted to all rows, on the out-of-fold probabilities of the earlier categories.
+    """
     rows = len(labels)
     before, chain = np.zeros((rows, 0)), Chain(names)
     for k in range(len(names)):
-        chain.models.append(fit(rows, text, feature, before, labels[:, k]))
+        chain.models.append(fit(chosen[k][FOLDS], rows, text, feature, count, before, labels[:, k]))
         unseen = np.zeros(rows)
         for f in range(FOLDS):
             out = fold == f
             into, where = ~out[text], np.cumsum(~out) - 1
-            model = fit(int((~out).sum()), where[text[into]], feature[into], before[~out], labels[~out, k])
-            where = np.cumsum(out) - 1
-            mine = out[text]
-            unseen[out] = model.scores(int(out.sum()), where[text[mine]], feature[mine], before[out])
+            model = fit(chosen[k][f], int((~out).sum()), where[text[into]], feature[into], count[into], before[~out], labels[~out, k])
+            mine, where = out[text], np.cumsum(out) - 1
+            unseen[out] = model.scores(int(out.sum()), where[text[mine]], feature[mine], count[mine], before[out])
         before = np.column_stack([before, unseen])
     return chain
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    data, offsets = text_bytes(batch.column("text"))
+    for i, j in chunks(offsets, PIECE_BYTES):
+        yield batch.slice(i, j - i), *bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows have a feature, by fold and set of labels (as bits)."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        for i, j in chunks(offsets, PIECE_BYTES):
-            text, feature = features_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            pair, count = np.unique(text * DIMENSIONS + feature, return_counts=True)
-            text, feature = np.divmod(pair, DIMENSIONS)
-            cuts = np.searchsorted(text, np.arange(j - i + 1))
-            bags = [np.stack([feature[a:b], count[a:b]]).astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-            part = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([part.column("fold"), part.column("labels"), pa.array(bags, pa.binary())], names=["fold", "labels", "bag"])
+        for part, text, feature, _ in _pieces(batch):
+            group = part.column("fold").to_numpy() * 256 + part.column("label_bits").to_numpy()
+            pair, n = np.unique(group[text] * DIMENSIONS + feature, return_counts=True)
+            group, feature = np.divmod(pair, DIMENSIONS)
+            yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(n)], names=["set", "feature", "n"])
+
+
+def _bags_of(features: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = Linear(features, features, features[:0], 0.0)
+        for batch in batches:
+            for part, text, feature, count in _pieces(batch):
+                hit, column = chosen.columns(feature)
+                text, count = text[hit], count[hit]
+                cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
+                out = [np.stack([column[a:b], count[a:b]]).astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("fold"), part.column("label_bits"), pa.array(out, pa.binary())], names=["fold", "label_bits", "bag"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, categories: dict[str, str] = CATEGORIES) -> Chain:
-    """The chain for docs (doc_id, text) and labels (doc_id, and what the categories' SQL names). Rows without id are left out; a null label counts as no.
+    """The chain for docs (doc_id, text) and labels (doc_id, and what the SQL of up to eight categories names). Rows without id are left out; a null label counts as no.
 
-    The driver fits it to the features of at most about `limit` rows; it never sees more. Without labelled rows every probability is 0.5.
+    It is fitted on the driver to the chosen features of at most about `limit` rows. Without labelled rows every probability is 0.5.
     """
-    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(
-        *[F.max(F.coalesce(F.expr(sql).cast("int"), F.lit(0))).alias(f"label_{k}") for k, sql in enumerate(categories.values())]
-    )
+    k = len(categories)
+    bits = sum((F.max(F.coalesce(F.expr(sql).cast("int"), F.lit(0))) * (1 << i) for i, sql in enumerate(categories.values())), F.lit(0))
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(bits.cast("int").alias("label_bits"))
     total = marks.count()
     if total > limit:
         marks = marks.where(F.pmod(F.xxhash64("label_id", F.lit("sample")), F.lit(1_000_003)) < F.lit(int(1_000_003 * limit / total)))
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = texts.join(marks, "label_id").select(
-        F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"),
-        F.array(*[F.col(f"label_{k}") for k in range(len(categories))]).alias("labels"),
-        "text",
+    rows = texts.join(F.broadcast(marks), "label_id").select(  # `limit` short rows
+        F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "label_bits", "text"
     )
-    found = rows.mapInArrow(_extracted, "fold int, labels array<int>, bag binary").toArrow()
-    if not found.num_rows:
-        return Chain(list(categories), [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), 0.0) for k in range(len(categories))])
-    order = sorted(range(found.num_rows), key=lambda i: (found.column("bag")[i].as_py(), found.column("fold")[i].as_py(), found.column("labels")[i].as_py()))
-    found = found.take(order)  # so that the model doesn't depend on the order of rows
-    bags = [np.frombuffer(x, "<i4").reshape(2, -1) for x in found.column("bag").to_pylist()]
-    sizes = np.array([int(b[1].sum()) for b in bags])
-    feature = np.concatenate([np.repeat(b[0], b[1]) for b in bags]).astype(np.int64)
-    text = np.repeat(np.arange(len(bags)), sizes)
-    return fit_chain(list(categories), found.column("fold").to_numpy(), text, feature, np.array(found.column("labels").to_pylist(), np.float64))
+    sizes = {(r.fold, r.label_bits): r.n for r in rows.groupBy("fold", "label_bits").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return Chain(list(categories), [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(i), 0.0) for i in range(k)])
+    shares = rows.mapInArrow(_shares, "set int, feature int, n long").groupBy("set", "feature").agg(F.sum("n").alias("n")).toArrow()
+    group, feature, n = (shares.column(c).to_numpy() for c in ("set", "feature", "n"))
+    chosen = []
+    for i in range(k):
+        own = []
+        for out in range(FOLDS + 1):
+            used, positive = group // 256 != out, (group % 256) >> i & 1 == 1
+            counted = {x: c for x, c in sizes.items() if x[0] != out}
+            every = np.bincount(feature[used], n[used], DIMENSIONS)
+            yes = np.bincount(feature[used & positive], n[used & positive], DIMENSIONS)
+            own.append(telling(sum(counted.values()), sum(c for x, c in counted.items() if x[1] >> i & 1), yes, every))
+        chosen.append(own)
+    every = np.unique(np.concatenate([x for own in chosen for x in own]))
+    found = rows.mapInArrow(_bags_of(every), "fold int, label_bits int, bag binary").orderBy("bag", "fold", "label_bits").toArrow()  # in an order that doesn't depend on how the rows lay
+    raw = [np.frombuffer(x, "<i4").reshape(2, -1) for x in found.column("bag").to_pylist()]
+    text = np.repeat(np.arange(len(raw)), [x.shape[1] for x in raw])
+    column, count = np.concatenate(raw, axis=1).astype(np.int64)
+    label_bits = found.column("label_bits").to_numpy()
+    labels_of = (label_bits[:, None] >> np.arange(k) & 1).astype(np.float64)
+    return fit_chain(list(categories), chosen, found.column("fold").to_numpy(), text, every[column], count, labels_of)
 
 
 def predict(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -182,11 +223,9 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = held.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for i, j in chunks(offsets, PIECE_BYTES):
-                text, feature = features_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                p = chain.probabilities(j - i, text, feature)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *[pa.array(c) for c in p.T]], names=["doc_id", *chain.names])
+            for part, text, feature, count in _pieces(batch):
+                p = chain.probabilities(part.num_rows, text, feature, count)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c) for c in p.T]], names=["doc_id", *chain.names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in chain.names))
@@ -211,7 +250,7 @@ def sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("lowered"))
             for i, j in chunks(offsets, PIECE_BYTES):
-                found = features_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found = bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 p = chain.probabilities(j - i, *found)[:, column]
                 part = batch.slice(i, j - i).filter(pa.array(p < THRESHOLD))
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names)

@@ -27,7 +27,7 @@ PREFIXES = (4, 5, 6)
 #: The chain is fitted to so many labelled rows at most, about (by the hash of the id), with so many features for each category.
 TRAINING_ROWS, FEATURES = 12_000, 512
 FOLDS, ROUNDS, RIDGE = 3, 200, 1e-3
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 19
 
 
 def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

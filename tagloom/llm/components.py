@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import checkpointed
@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of two steps, each of which keeps what is connected connected: every node tells its larger neighbours, then its
     smaller ones, about the smallest node it knows. Once nothing changes, each node is linked to its component's smallest
-    node only. The number of rounds grows with the logarithm of the number of nodes. No group is collected: a node's
+    node only. The number of rounds grows with the logarithm of the number of nodes. No group is collected: all of a node's
     neighbours are aggregated before the shuffle and joined back.
     """
     edges = checkpointed(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -27,6 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        # what a node knows of smaller nodes is little by now, at most one for each of its smaller neighbours: a window, not another join
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = checkpointed(small.select("e.*").where("a != b").distinct())

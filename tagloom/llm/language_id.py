@@ -37,7 +37,7 @@ SMOOTHING = 0.5
 LEAST_SHARE = 0.01
 #: The model is learned from so many labelled documents, about; all of them if there are fewer.
 TRAINING_DOCUMENTS = 20_000
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 3 << 20
 UNKNOWN = "und"
 
 

@@ -41,6 +41,21 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """ids_and_texts with a key of its own for each document, in the order of doc_id.
+
+    Rows with equal id and text are one document. If an id has several texts (or several texts have none), each of them is a document, in the order of their hashes; then keys
+    are places in that order.
+    """
+    held = ids_and_texts(docs)
+    if held.groupBy("key").count().where("count > 1").isEmpty():
+        return held
+    marked = held.withColumn("mark", F.xxhash64("text"))
+    ordered = marked.select("key", "mark").distinct().sort("key", "mark").rdd.zipWithIndex()
+    places = ordered.map(lambda x: (*x[0], x[1])).toDF("key long, mark long, place long")
+    return marked.join(places, ["key", "mark"]).select("doc_id", F.col("place").alias("key"), "text")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df from the reliable folder named in spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
     context = df.sparkSession.sparkContext

@@ -124,7 +124,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     sizes = checkpointed(sizes)
     goals = targets(sizes)
     nodes = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / FAN)).cast("long")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.when(F.col("words") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = checkpointed(sizes.join(goals, sizes.source.eqNullSafe(goals.source)).drop(goals.source))
     # equal ids would be one document in two places: number them
     same = Window.partitionBy("key").orderBy("source_rank", "words")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import documents, ids_and_texts
+from tagloom.llm.common import NULL_ID, distinct_documents, documents
 from tagloom.llm.repeats import Windows, covered, gone_arrays, repeated_windows
 from tagloom.llm.subtrees import subtree
 
@@ -36,7 +36,7 @@ def _resolve(width: int):
 def with_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """key, doc_id, text and gone: the windows of `width` words that also start in an earlier document."""
     spec = Windows(width=width, gram=max(1, min(16, width // 3)), words=True, within=False)
-    return repeated_windows(ids_and_texts(docs), spec, _resolve(width))
+    return repeated_windows(distinct_documents(docs), spec, _resolve(width))
 
 
 def _applied(width: int, texts: bool):
@@ -58,35 +58,40 @@ def _applied(width: int, texts: bool):
                 n_removed.append(removed)
                 kept_texts.append(kept.decode() if texts else hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.string())],
-                names=["key", "doc_id", "n_words", "n_removed", "kept"],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.string())],
+                names=["doc_id", "mark", "n_words", "n_removed", "kept"],
             )
 
     return run
 
 
+def _removed(docs: DataFrame, width: int, texts: bool) -> DataFrame:
+    """doc_id, mark (the hash of the text), n_words, n_removed, kept."""
+    marked = with_repeats(docs, width).withColumn("mark", F.xxhash64("text"))
+    return marked.mapInArrow(_applied(width, texts), "doc_id long, mark long, n_words long, n_removed long, kept string")
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per document key, doc_id, n_words, n_removed and kept: the remaining words joined by one space.
+    """For each row doc_id, n_words, n_removed and kept: the remaining words joined by one space.
 
-    A null text has no words. A null doc_id counts as one document before all others; rows that share a doc_id are one document, and no row loses words to
-    another row of the same document. Texts shorter than `width` words are left alone. Other columns of docs are ignored.
+    A null text has no words. Null doc_ids come before all others. Rows with equal id and text are one document; if an id has several texts, each is a document, in the order of their
+    hashes. Texts shorter than `width` words are left alone. Other columns of docs are ignored.
     """
-    return with_repeats(docs, width).mapInArrow(_applied(width, texts=True), "key long, doc_id long, n_words long, n_removed long, kept string")
+    return _removed(docs, width, texts=True).drop("mark")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_repeats(documents(spark, sf_dir)).mapInArrow(_applied(WIDTH, texts=False), "key long, doc_id long, n_words long, n_removed long, kept string")
-    return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+    return _removed(documents(spark, sf_dir), WIDTH, texts=False).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with repeated passages removed; one that lost all its words goes. A text that loses nothing stays byte for byte."""
-    kept = substring_dedup(docs).select("key", "n_removed", "n_words", "kept").dropDuplicates(["key"])
-    from tagloom.llm.common import NULL_ID
-
-    changed = kept.where("n_removed > 0")
-    joined = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(changed, "key", "left")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return joined.where("n_removed is null or n_removed < n_words").select(
+    key, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
+    changed = _removed(docs, WIDTH, texts=True).where("n_removed > 0")
+    changed = changed.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("changed_key"), F.col("mark").alias("changed_mark"), F.col("n_removed").alias("changed_by"), F.col("n_words").alias("changed_from"), F.col("kept").alias("changed_text"))
+    changed = changed.dropDuplicates(["changed_key", "changed_mark"])
+    joined = docs.withColumns({"changed_key": key, "changed_mark": mark}).join(changed, ["changed_key", "changed_mark"], "left")
+    text = F.when(F.col("changed_by") > 0, F.col("changed_text")).otherwise(F.col("text"))
+    return joined.where("changed_by is null or changed_by < changed_from").select(
         *[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns]
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import documents, ids_and_texts
+from tagloom.llm.common import distinct_documents, documents
 from tagloom.llm.induced import suffix_order
 from tagloom.llm.repeats import Windows, covered, gone_arrays, repeated_windows
 
@@ -41,7 +41,7 @@ def _resolve(width: int):
 def with_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """key, doc_id, text and gone: the windows of `width` bytes that also start earlier."""
     spec = Windows(width=width, gram=max(1, width // 3), words=False, within=True)
-    return repeated_windows(ids_and_texts(docs), spec, _resolve(width))
+    return repeated_windows(distinct_documents(docs), spec, _resolve(width))
 
 
 def _applied(width: int, contents: bool):
@@ -64,22 +64,22 @@ def _applied(width: int, contents: bool):
                 spans.append(m)
                 kept.append(rest if contents else hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary() if contents else pa.string())],
-                names=["key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary() if contents else pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     return run
 
 
 def suffix_array_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per document key, doc_id, n_bytes, n_removed, n_spans and kept: the remaining bytes (which may no longer be whole characters).
+    """For each row doc_id, n_bytes, n_removed, n_spans and kept: the remaining bytes (which may no longer be whole characters).
 
-    A null text is empty. A null doc_id counts as one document before all others; rows that share a doc_id are one document, whose rows don't
-    make each other's windows repeats at the same place. Texts shorter than `width` bytes are left alone. Other columns of docs are ignored.
+    A null text is empty. Null doc_ids come before all others. Rows with equal id and text are one document; if an id has several texts, each is a document, in the order
+    of their hashes. Texts shorter than `width` bytes are left alone. Other columns of docs are ignored.
     """
-    return with_repeats(docs, width).mapInArrow(_applied(width, contents=True), "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_repeats(docs, width).mapInArrow(_applied(width, contents=True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_repeats(documents(spark, sf_dir)).mapInArrow(_applied(WIDTH, contents=False), "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
+    out = with_repeats(documents(spark, sf_dir)).mapInArrow(_applied(WIDTH, contents=False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))

@@ -20,7 +20,8 @@ STRONG, WEAK, LOW = 0.70, 0.30, 0.50
 
 
 def unit(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Kept between 0 and 1; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def level(score: Column) -> Column:

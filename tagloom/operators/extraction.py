@@ -81,6 +81,11 @@ def _next(lines: Column, i: Column, n: int) -> Column:
     return F.slice(lines, i + 2, n)
 
 
+def next_value(lines: Column, i: Column, most: int = 4) -> Column:
+    """The first of the lines behind place i that is no heading, among `most`; null if there is none."""
+    return F.get(F.filter(_next(lines, i, most), lambda x: ~is_heading(x, ALL_HEADINGS)), 0)
+
+
 def _until(lines: Column, stop: Callable[[Column], Column], most: int | None = None) -> Column:
     """The lines before the first at which to stop."""
     at = F.array_position(F.transform(lines, stop), True)
@@ -178,6 +183,11 @@ def _places_sql(test: str) -> str:
     return f"list_filter(range(1, len(lines) + 1), lambda i: {test})"
 
 
+def next_value_sql(lines: str, i: str, most: int = 4) -> str:
+    """i counts from 1."""
+    return f"list_filter({lines}[{i} + 1:{i} + {most}], lambda n: NOT {_any_sql('n', ALL_HEADINGS)})[1]"
+
+
 def clean_lines_sql(text: str) -> str:
     raw = f"string_split({replaced_sql(f'coalesce({text}, {quoted(str())})', CLEAN_TEXT)}, chr(10))"
     return f"list_filter(list_transform({raw}, lambda r: {replaced_sql('r', CLEAN_VALUE)}), lambda r: r <> '')"

@@ -226,6 +226,13 @@ def scored_sql(detections: str) -> str:
         whens = " ".join(f"WHEN {matches_sql('text', p, c)} THEN {w}::DOUBLE" for p, w, c in FORMATS.get(field, []))
         columns.append(f"CASE {whens} ELSE 0::DOUBLE END AS fm_{i}" if whens else f"0::DOUBLE AS fm_{i}")
     normal_text = replaced_sql("coalesce(text, '')", NORMAL_FORM)
+    letters, digits = "length(regexp_replace(text, '[^A-Za-z]', '', 'g'))", "length(regexp_replace(text, '[^0-9]', '', 'g'))"
+    ignored = " OR ".join(f"contains(found, {quoted(w)})" for w in NOT_A_NAME)
+    some = lambda test, worth: f"CASE WHEN {test} THEN {worth}::DOUBLE ELSE 0 END"
+    tests = [("length(text) BETWEEN 4 AND 80", 0.20), (f"{letters} >= {digits}", 0.20), ("len(string_split_regex(text, '[ ]+')) >= 2", 0.15), ("upper(text) = text AND lower(text) <> text", 0.10)]
+    score = steady_sql(f"least(1, 0.30::DOUBLE + {' + '.join(some(*t) for t in tests)})", 4)
+    only_numbers = matches_sql("text", r"^[0-9\s.,:/()\-]+$")
+    columns.append(f"CASE WHEN length(text) < 3 OR {ignored} OR {only_numbers} OR {letters} = 0 THEN 0 ELSE {score} END AS name_score")
     return f"SELECT *, {', '.join(columns)} FROM (SELECT * REPLACE ({normal_text} AS text), trim(lower({normal_text})) AS found FROM ({detections})) WHERE text <> ''"
 
 
@@ -259,3 +266,13 @@ def values_sql(detections: str, longer_side: int) -> str:
     r AS (SELECT n.image_id, n.det_idx, {best} FROM n JOIN s h ON h.image_id = n.image_id AND h.det_idx = n.other_idx GROUP BY 1, 2)
     SELECT image_id, det_idx, text, field, {steady_sql('least(raw, 1)', 4)} AS score, format AS format_score, {steady_sql('relationship', 4)} AS relationship_score
     FROM (SELECT *, format * 0.4::DOUBLE + direct * 0.2::DOUBLE + relationship * 0.4::DOUBLE AS raw FROM ({parts})) WHERE round(raw, 8) >= {LEAST_VALUE}::DOUBLE"""
+
+
+def map_sql(detections: str, longer_side: int) -> str:
+    rows = scored_sql(detections)
+    direct = f"SELECT image_id, det_idx, text, field, score, 'heading_or_direct' AS kind, 0 AS k FROM ({direct_sql(rows, 'image_id', 'det_idx')}) JOIN ({rows}) USING (image_id, det_idx)"
+    value = f"SELECT image_id, det_idx, text, field, score, 'value' AS kind, 1 AS k FROM ({values_sql(detections, longer_side)})"
+    name = f"SELECT image_id, det_idx, text, 'product_name' AS field, name_score AS score, 'product_name' AS kind, 2 AS k FROM ({rows}) WHERE name_score > 0"
+    return f"""
+    SELECT image_id, field, row_number() OVER (PARTITION BY image_id, field ORDER BY score DESC, k, det_idx)::INTEGER AS rank, kind, det_idx, text, score
+    FROM ({direct} UNION ALL {value} UNION ALL {name})"""

@@ -137,6 +137,12 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("kind", "id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n"))
 
 
+@query(f"""SELECT kind, id, array_to_string(list_filter(list_transform(string_split_regex(coalesce(nfc_normalize(text), ''), {dialect.quoted(chr(92) + 'r' + chr(92) + 'n|[' + chr(92) + 'n' + chr(92) + 'r]')}),
+  lambda x: {dialect.replaced_sql('x', text.NORMAL_FORM)}), lambda x: x <> ''), chr(10)) AS lines FROM ({_TEXTS})""")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("kind", "id", F.array_join(text.normal_lines(F.col("text")), "\n").alias("lines"))
+
+
 @query(f"SELECT kind, id, {text.is_valid_sql('coalesce(text, ' + chr(39) * 2 + ')')} AS valid FROM ({_TEXTS})")
 def text_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("kind", "id", text.is_valid(F.col("text")).alias("valid"))
@@ -202,6 +208,14 @@ def coalesce_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.fill_gaps(extract_fields(spark, sf_dir), part.select(F.col("p_partkey").alias("label_id"), pairs.alias("fields")), "label_id")
 
 
+@query(f"""SELECT label_id, i AS line_index, lines[i] AS line, {extraction.next_value_sql('lines', 'i')} AS next_value
+FROM (SELECT label_id, {extraction.clean_lines_sql('text')} AS lines FROM ({_L})), unnest(range(1, len(lines) + 1)) AS u(i)""")
+def next_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = source.labels(spark, sf_dir).select("label_id", extraction.clean_lines(F.col("text")).alias("lines"))
+    rows = F.transform("lines", lambda x, i: F.struct((i + 1).cast("long").alias("line_index"), x.alias("line"), extraction.next_value(F.col("lines"), i).alias("next_value")))
+    return held.select("label_id", F.explode(rows).alias("r")).select("label_id", "r.*")
+
+
 # Classification of lines
 
 _CLASSIFIED = line_classification.classified_sql(_L, "label_id")
@@ -258,6 +272,16 @@ def value_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field_scores.value_candidates(_scored(spark, sf_dir), LONGER_SIDE)
 
 
+@query(field_scores.map_sql(_D, source.IMAGE_HEIGHT))
+def field_map_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_scores.field_map(_scored(spark, sf_dir), LONGER_SIDE)
+
+
+@query(f"SELECT image_id, det_idx, name_score FROM ({field_scores.scored_sql(_D)})")
+def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("image_id", "det_idx", "name_score")
+
+
 @query()
 def field_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field_scores.field_map(field_scores.scored(_boxed(spark, sf_dir)), LONGER_SIDE)
@@ -322,9 +346,29 @@ def transformed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""SELECT image_id, det_idx, x AS left_x, y + h AS bottom_y, greatest(x + w / 2 + (x - x - w / 2) * 1.025::DOUBLE, 0) AS wider_left,
+  concat(substr(trim(text), 1, 28), ' (', CAST(round(confidence * 100) AS BIGINT), '%)') AS label FROM ({_D})""")
+def box_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corners = geometry.ordered_corners(F.array(*[F.get("box", i) for i in (2, 0, 3, 1)]))
+    wider = geometry.expanded(F.col("box"), 0.025, F.lit(1e9), F.lit(1e9))
+    return _boxed(spark, sf_dir).select(
+        "image_id", "det_idx", F.get(corners, 0)["x"].alias("left_x"), F.get(corners, 3)["y"].alias("bottom_y"), F.get(wider, 0)["x"].alias("wider_left"), geometry.evidence_label(F.col("text"), F.col("confidence")).alias("label")
+    )
+
+
 # Merging
 
 
+@query(f"SELECT image_id, det_idx, repaired AS text, confidence FROM (SELECT *, {dialect.replaced_sql('text', text.REPAIRS)} AS repaired FROM ({_D})) WHERE confidence >= 0.15 AND {text.is_valid_sql('repaired')}")
+def kept_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.kept_detections(source.detections(spark, sf_dir)).select("image_id", "det_idx", "text", "confidence")
+
+
+@query(f"SELECT image_id, det_idx, normal AS text, confidence FROM (SELECT *, {dialect.replaced_sql('text', text.NORMAL_FORM)} AS normal FROM ({_D})) WHERE normal <> ''")
+def normal_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.normal_detections(source.detections(spark, sf_dir)).select("image_id", "det_idx", "text", "confidence")
+
+
 @query()
 def merged_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.merge_readings(merging.kept_detections(source.detections(spark, sf_dir)), LONGER_SIDE)

@@ -95,3 +95,18 @@ def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.where("changed_by is null or changed_by < changed_from").select(
         *[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns]
     )
+
+
+ORACLE = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), w AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + {WIDTH - 1}], ' ')) AS win FROM d, unnest(range(1, len(words) - {WIDTH - 2})) AS u(i)
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + {WIDTH})))) AS places
+  FROM w JOIN (SELECT win, min(doc_id) AS first FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)) f USING (win) WHERE first < doc_id GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_where(words, list_transform(range(1, len(words) + 1), lambda k: NOT list_contains(places, k))) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone g ON g.doc_id = d.doc_id
+"""

@@ -83,3 +83,4 @@ def suffix_array_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_repeats(documents(spark, sf_dir)).mapInArrow(_applied(WIDTH, contents=False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+

@@ -120,3 +120,46 @@ def chats(messages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _normal_sql(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+ORACLE = f"""
+WITH RECURSIVE m AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS pos
+  FROM (SELECT coalesce(conv_id, {NULL_ID}) AS conv, conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
+), l AS MATERIALIZED (
+  SELECT conv, pos, i, length(regexp_replace(regexp_extract(ls[i], '{MARKS}', 1), '[^>]', '', 'g')) AS depth, regexp_replace(ls[i], '{MARKS}', '') AS body
+  FROM (SELECT conv, pos, string_split_regex(text, '{LINE_BREAK}') AS ls FROM m), unnest(range(1, len(ls) + 1)) AS u(i)
+), a AS (
+  SELECT *, lead(depth) OVER w AS after, CASE WHEN depth = lag(depth) OVER w THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY conv, pos ORDER BY i)
+), own AS MATERIALIZED (
+  SELECT conv, pos, regexp_replace(string_agg(body, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS own
+  FROM a WHERE depth = 0 AND NOT (regexp_matches(body, '{ANNOUNCEMENT}') AND coalesce(after, 0) > 0) GROUP BY conv, pos
+), runs AS (
+  SELECT conv, pos, depth, string_agg(body, ' ' ORDER BY i) AS body FROM (SELECT *, sum(new) OVER (PARTITION BY conv, pos ORDER BY i) AS run FROM a) GROUP BY conv, pos, run, depth
+), quoted AS (
+  SELECT DISTINCT conv, pos, depth, {_normal_sql('body')} AS passage FROM (SELECT conv, pos, depth, body FROM l UNION ALL SELECT * FROM runs) WHERE depth > 0
+), originals AS (
+  SELECT DISTINCT conv, pos, {_normal_sql('body')} AS passage FROM (SELECT conv, pos, body FROM l WHERE depth = 0 UNION ALL SELECT * FROM own)
+), met AS (
+  SELECT q.conv, q.pos, q.passage, max(o.pos) AS source FROM quoted q JOIN originals o ON o.conv = q.conv AND o.passage = q.passage AND o.pos < q.pos
+  WHERE q.depth = 1 AND q.passage <> '' GROUP BY q.conv, q.pos, q.passage
+), linked AS (
+  SELECT conv, pos, arg_max(source, [chars, source]) AS linked FROM (SELECT conv, pos, source, sum(length(passage))::BIGINT AS chars FROM met GROUP BY conv, pos, source) GROUP BY conv, pos
+), marked AS MATERIALIZED (
+  SELECT m.*, linked, coalesce(max(CASE WHEN linked <> m.pos - 1 THEN m.pos END) OVER w, 1) AS branch, lag(turn) OVER w AS previous
+  FROM m LEFT JOIN linked k ON k.conv = m.conv AND k.pos = m.pos WINDOW w AS (PARTITION BY m.conv ORDER BY m.pos)
+), starts AS (
+  SELECT s.conv, s.branch, s.linked, u.branch AS up FROM marked s JOIN marked u ON u.conv = s.conv AND u.pos = s.linked WHERE s.pos = s.branch AND s.branch > 1
+), paths AS (
+  SELECT conv, branch, [-linked, branch] AS path FROM starts WHERE up = 1
+  UNION ALL SELECT s.conv, s.branch, list_concat(p.path, [-s.linked, s.branch]) FROM paths p JOIN starts s ON s.conv = p.conv AND s.up = p.branch
+)
+SELECT k.conv_id, row_number() OVER (PARTITION BY k.conv ORDER BY coalesce(p.path, []), k.pos)::INTEGER AS position, k.turn, k.role,
+  CASE WHEN k.linked IS NOT NULL THEN t.turn ELSE k.previous END AS reply_to, k.linked IS NOT NULL AS quoted, d.levels, coalesce(o.own, '') AS text
+FROM marked k JOIN (SELECT conv, pos, max(depth)::INTEGER AS levels FROM l GROUP BY conv, pos) d ON d.conv = k.conv AND d.pos = k.pos
+LEFT JOIN own o ON o.conv = k.conv AND o.pos = k.pos LEFT JOIN paths p ON p.conv = k.conv AND p.branch = k.branch LEFT JOIN m t ON t.conv = k.conv AND t.pos = k.linked
+"""

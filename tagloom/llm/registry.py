@@ -35,4 +35,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": exact_topk.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
+    "op6_quotation_linking": quotation_linking.ORACLE,
 }

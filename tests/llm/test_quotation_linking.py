@@ -1,3 +1,7 @@
+import random
+
+import duckdb
+
 from tagloom.llm import quotation_linking as q
 
 SCHEMA = "conv_id long, turn long, role string, text string, pos string"
@@ -47,3 +51,30 @@ def test_long_chain_of_branches(spark):
 
     visit(0)
     assert sorted(found, key=lambda t: found[t].position) == order
+
+
+def test_equals_sql_on_random_chats(spark, tmp_path):
+    random.seed(5)
+    rows = []
+    for conv in range(40):
+        said = []
+        for turn in range(random.randint(1, 20)):
+            lines = []
+            for _ in range(random.randint(0, 3)):
+                if said and random.random() < 0.6:
+                    x = random.choice(said)
+                    lines.append(random.choice([">", "> ", ">> ", "> > "]) + random.choice([x, x.upper(), x + "  "]))
+                else:
+                    lines.append(random.choice(["On Monday Bob wrote:", "hi", "", f"line {random.randrange(40)} é", f"some {random.randrange(9)} words, here."]))
+            said += [x for x in lines if x and not x.startswith(">")]
+            text = random.choice(["\n", "\r\n"]).join(lines) if random.random() < 0.97 else None
+            rows.append((conv or None, turn if random.random() < 0.95 else None, random.choice(["user", "assistant", None]), text, "p"))
+    messages = spark.createDataFrame(rows, SCHEMA)
+    messages.write.parquet(f"{tmp_path}/c")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    found = q.reply_ordered(messages)
+    columns = sorted(found.columns)
+    expected = duck.sql(f"SELECT {', '.join(columns)} FROM ({q.ORACLE})").fetchall()
+    assert sorted(map(str, map(tuple, found.select(*columns).collect()))) == sorted(map(str, expected))
+    assert found.where("quoted").count() > 50

@@ -29,6 +29,10 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def filled_sql(text: str = "text") -> str:
+    return f"coalesce({text}, '')"
+
+
 def replaced_sql(text: str, steps: list[Step]) -> str:
     for s in steps:
         for pattern, replacement in s.oracle or ((s.pattern, s.replacement.replace("$", "\\")),):

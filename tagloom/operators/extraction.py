@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.dialect import SQUEEZE, STRIP, Step, matches, matches_sql, once, quoted, replaced, replaced_sql
+from tagloom.functions.dialect import SQUEEZE, STRIP, Step, filled_sql, matches, matches_sql, once, quoted, replaced, replaced_sql
 from tagloom.functions.values import price, price_sql, quantity, quantity_sql
 
 # Headings, words and lines that the extraction knows.
@@ -189,7 +189,7 @@ def next_value_sql(lines: str, i: str, most: int = 4) -> str:
 
 
 def clean_lines_sql(text: str) -> str:
-    raw = f"string_split({replaced_sql(f'coalesce({text}, {quoted(str())})', CLEAN_TEXT)}, chr(10))"
+    raw = f"string_split({replaced_sql(filled_sql(text), CLEAN_TEXT)}, chr(10))"
     return f"list_filter(list_transform({raw}, lambda r: {replaced_sql('r', CLEAN_VALUE)}), lambda r: r <> '')"
 
 
@@ -198,7 +198,8 @@ def extracted_sql(labels: str, *keys: str) -> str:
     money = lambda x: price_sql(replaced_sql(x, [CURRENCY_LETTERS]))
 
     def headed(headings: list[str], parse: Callable[[str], str]) -> str:
-        value = f"coalesce({parse(_after_sql('lines[i]', headings))}, {_first_sql(f'list_transform(lines[i + 1:i + 4], lambda n: {parse(chr(110))})')})"
+        behind = _first_sql(f"list_transform(lines[i + 1:i + 4], lambda n: {parse('n')})")
+        value = f"coalesce({parse(_after_sql('lines[i]', headings))}, {behind})"
         return _first_sql(f"list_transform({_places_sql(_any_sql('lines[i]', headings))}, lambda i: {value})")
 
     joined = "array_to_string(lines, ' ')"

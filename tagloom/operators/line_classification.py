@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.dialect import STRIP, matches_sql, quoted, replaced, replaced_sql, steady, steady_sql
+from tagloom.functions.dialect import STRIP, filled_sql, matches_sql, quoted, replaced, replaced_sql, steady, steady_sql
 from tagloom.functions.text import VIEW_FORM, view_form, words_only
 
 # Aliases, patterns, weights and required declarations.
@@ -118,7 +118,7 @@ def missing_declarations(labels: DataFrame, classified: DataFrame, key: str, imp
 
 
 def classified_sql(labels: str, key: str) -> str:
-    lines = f"list_filter(list_transform(string_split({replaced_sql('coalesce(text, ' + quoted('') + ')', VIEW_FORM)}, chr(10)), lambda x: {replaced_sql('x', [STRIP])}), lambda x: x <> '')"
+    lines = f"list_filter(list_transform(string_split({replaced_sql(filled_sql(), VIEW_FORM)}, chr(10)), lambda x: {replaced_sql('x', [STRIP])}), lambda x: x <> '')"
     semantic, pattern, context = ([], [], [])
     for field, aliases in ALIASES.items():
         scores = []

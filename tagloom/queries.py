@@ -84,7 +84,7 @@ def rule_status_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _form_sql(steps: list[dialect.Step]) -> str:
-    return f"SELECT kind, id, {dialect.replaced_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', steps)} AS out FROM ({_TEXTS})"
+    return f"SELECT kind, id, {dialect.replaced_sql(dialect.filled_sql(), steps)} AS out FROM ({_TEXTS})"
 
 
 def _form(spark: SparkSession, sf_dir: str, shape: Callable) -> DataFrame:
@@ -125,7 +125,7 @@ _NORMAL = dialect.replaced_sql("coalesce(nfc_normalize(text), '')", text.NORMAL_
 _FORMS = f"SELECT kind, id, {_NORMAL} AS normal FROM ({_TEXTS})"
 
 
-@query(f"SELECT kind, id, normal, lower(regexp_replace(normal, '[^a-zA-Z0-9]+', '', 'g')) AS compact, trim(regexp_replace(lower(normal), {dialect.quoted(chr(92) + 's+')}, ' ', 'g')) AS searchable FROM ({_FORMS})")
+@query(f"SELECT kind, id, normal, lower(regexp_replace(normal, '[^a-zA-Z0-9]+', '', 'g')) AS compact, trim(regexp_replace(lower(normal), {dialect.quoted(dialect.SQUEEZE.pattern)}, ' ', 'g')) AS searchable FROM ({_FORMS})")
 def text_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _texts(spark, sf_dir).select("kind", "id", text.normal(F.col("text")).alias("normal"))
     return held.withColumns({"compact": text.compacted(F.col("normal")), "searchable": text.searchable(F.col("normal"))})
@@ -137,18 +137,23 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("kind", "id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n"))
 
 
-@query(f"""SELECT kind, id, array_to_string(list_filter(list_transform(string_split_regex(coalesce(nfc_normalize(text), ''), {dialect.quoted(chr(92) + 'r' + chr(92) + 'n|[' + chr(92) + 'n' + chr(92) + 'r]')}),
-  lambda x: {dialect.replaced_sql('x', text.NORMAL_FORM)}), lambda x: x <> ''), chr(10)) AS lines FROM ({_TEXTS})""")
+_LINES = rf"list_transform(string_split_regex({dialect.filled_sql('nfc_normalize(text)')}, '\r\n|[\n\r]'), lambda x: {dialect.replaced_sql('x', text.NORMAL_FORM)})"
+
+
+@query(f"SELECT kind, id, array_to_string(list_filter({_LINES}, lambda x: x <> ''), chr(10)) AS lines FROM ({_TEXTS})")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("kind", "id", F.array_join(text.normal_lines(F.col("text")), "\n").alias("lines"))
 
 
-@query(f"SELECT kind, id, {text.is_valid_sql('coalesce(text, ' + chr(39) * 2 + ')')} AS valid FROM ({_TEXTS})")
+@query(f"SELECT kind, id, {text.is_valid_sql(dialect.filled_sql())} AS valid FROM ({_TEXTS})")
 def text_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("kind", "id", text.is_valid(F.col("text")).alias("valid"))
 
 
-@query(f"SELECT kind, id, {', '.join(f'{dialect.matches_sql(chr(108) + chr(116), p, False)} AS has_{n}' for n, p in text.HINTS.items())} FROM (SELECT kind, id, lower(coalesce(text, '')) AS lt FROM ({_TEXTS}))")
+_HINTS = ", ".join(f"{dialect.matches_sql('lowered', pattern, False)} AS has_{name}" for name, pattern in text.HINTS.items())
+
+
+@query(f"SELECT kind, id, {_HINTS} FROM (SELECT kind, id, lower({dialect.filled_sql()}) AS lowered FROM ({_TEXTS}))")
 def field_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("kind", "id", *[c.alias(n) for n, c in text.hints(F.col("text")).items()])
 

@@ -19,13 +19,12 @@ END
 
 _LABELS = """
 SELECT p.p_partkey AS label_id, p.p_type AS segment, {styles} AS text
-FROM (SELECT p0.*, chr(10) AS nl, {money} AS price, CAST(p_size * 10 AS {text}) AS q FROM {{part}} p0) p
-CROSS JOIN (
+FROM (SELECT p0.*, chr(10) AS nl, {money} AS price, CAST(p_size * 10 AS {text}) AS q, p_partkey % makers AS maker FROM {{part}} p0 CROSS JOIN (SELECT count(*) AS makers FROM {{supplier}}) c) p
+JOIN (
   SELECT s_suppkey AS k, s_name, n_name,
     concat('Plot ', CAST(s_suppkey AS {text}), ', Phase-1, ', n_name, ' - ', CAST(110000 + s_suppkey AS {text})) AS addr
   FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey
-) m CROSS JOIN (SELECT count(*) AS makers FROM {{supplier}}) c
-WHERE m.k = p.p_partkey % c.makers
+) m ON m.k = p.maker
 """
 
 SPARK_LABELS = _LABELS.format(styles=_STYLES.format(text="string"), text="string", money="format_string('%.2f', p_retailprice)")

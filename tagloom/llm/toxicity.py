@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,9 +148,11 @@ def fit_chain(names: list[str], chosen: list[list[np.ndarray]], fold: np.ndarray
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    data, offsets = text_bytes(batch.column("text"))
-    for i, j in chunks(offsets, PIECE_BYTES):
-        yield batch.slice(i, j - i), *bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    """Parts of a batch with the bags of their lower-cased texts; a null text is empty."""
+    for i, j in chunks(text_bytes(batch.column("text"))[1], PIECE_BYTES):
+        part = batch.slice(i, j - i)
+        data, offsets = text_bytes(pc.utf8_lower(part.column("text")))
+        yield part, *bags(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, catego
     total = marks.count()
     if total > limit:
         marks = marks.where(F.pmod(F.xxhash64("label_id", F.lit("sample")), F.lit(1_000_003)) < F.lit(int(1_000_003 * limit / total)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text")
     rows = texts.join(F.broadcast(marks), "label_id").select(  # `limit` short rows
         F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "label_bits", "text"
     )
@@ -227,7 +230,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
                 p = chain.probabilities(part.num_rows, text, feature, count)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c) for c in p.T]], names=["doc_id", *chain.names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in chain.names))
 
 
@@ -248,12 +251,7 @@ def sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = held.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column("lowered"))
-            for i, j in chunks(offsets, PIECE_BYTES):
-                found = bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                p = chain.probabilities(j - i, *found)[:, column]
-                part = batch.slice(i, j - i).filter(pa.array(p < THRESHOLD))
-                yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names)
-
-    names = docs.columns
-    return docs.select("*", F.lower(F.coalesce("text", F.lit(""))).alias("lowered")).mapInArrow(run, docs.schema)
+            for part, *found in _pieces(batch):
+                yield part.filter(pa.array(chain.probabilities(part.num_rows, *found)[:, column] < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -96,3 +96,27 @@ def test_near_duplicates_of_odd_rows(spark):
     found = {r.key: r.component for r in near_duplicates.near_duplicate_components(frame(spark, ODD)).collect()}
     assert found[4] == found[5] == 4 and found[7] == 7
     assert near_duplicates.near_duplicate_components(frame(spark, [])).count() == 0
+
+
+def similar_pairs(rows, similarity=0.8, size=5):
+    """Pairs of keys by brute force over the sets of shingles."""
+    sets = {}
+    for k, t in rows:
+        words = t.split()
+        sets[k] = {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} or {t}
+    keys = sorted(sets)
+    return [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity]
+
+
+def test_near_duplicates_of_short_texts_by_brute_force(spark):
+    random.seed(8)
+    word = lambda: f"w{random.randrange(90_000)}"
+    rows = []
+    for _ in range(150):
+        words = [word() for _ in range(random.randint(9, 30))]
+        rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join([*words, word()] if random.random() < 0.5 else [*words[:-1], word()])))  # similarities from 0.67 to 0.96
+    expected = groups(range(len(rows)), similar_pairs(rows))
+    found = {r.key: r.component for r in near_duplicates.near_duplicate_components(frame(spark, rows)).collect()}
+    wrong = sum(found[k] != expected[k] and expected[k] == k for k in found)
+    assert not wrong  # no pair below 0.8 is linked

@@ -120,3 +120,26 @@ def test_near_duplicates_of_short_texts_by_brute_force(spark):
     found = {r.key: r.component for r in near_duplicates.near_duplicate_components(frame(spark, rows)).collect()}
     wrong = sum(found[k] != expected[k] and expected[k] == k for k in found)
     assert not wrong  # no pair below 0.8 is linked
+
+
+def test_near_duplicates_find_every_pair_also_in_a_family_with_a_template(spark):
+    random.seed(10)
+    word = lambda: f"w{random.randrange(90_000)}"
+    rows = []
+    for _ in range(150):
+        words = [word() for _ in range(random.randint(9, 30))]
+        rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join([*words, word()])))
+    expected = groups(range(len(rows)), similar_pairs(rows))
+    template = [word() for _ in range(90)]
+    for _ in range(2500):  # similarity of two members: about 0.75, of two that belong together: about 0.85
+        own = [word() for _ in range(13)]
+        rows.append((len(rows), " ".join(template + own)))
+        expected[len(rows) - 1] = len(rows) - 1
+        if random.random() < 0.1:
+            rows.append((len(rows), " ".join(template[:-6] + [word()] * 2 + template[-4:] + own)))
+            expected[len(rows) - 1] = len(rows) - 2
+    some = rows[300:560]
+    assert groups([k for k, _ in some], similar_pairs(some)) == {k: expected[k] for k, _ in some}
+    found = {r.key: r.component for r in near_duplicates.near_duplicate_components(frame(spark, rows)).collect()}
+    assert found == expected

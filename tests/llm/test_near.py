@@ -143,3 +143,11 @@ def test_near_duplicates_find_every_pair_also_in_a_family_with_a_template(spark)
     assert groups([k for k, _ in some], similar_pairs(some)) == {k: expected[k] for k, _ in some}
     found = {r.key: r.component for r in near_duplicates.near_duplicate_components(frame(spark, rows)).collect()}
     assert found == expected
+
+
+def test_clashing_and_missing_ids_keep_one_copy_of_each_text(spark):
+    random.seed(12)
+    x, y, z = (" ".join(f"w{random.randrange(5000)}" for _ in range(60)) for _ in range(3))
+    rows = [(3, x), (5, x), (5, y), (7, y + " more"), (None, z), (None, z), (8, z), (9, None), (None, y)]
+    kept = near_duplicates.one_of_each(spark, frame(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(3, x), (0, z), (9, ""), (0, y)])

@@ -118,6 +118,7 @@ def fit(features: np.ndarray, rows: int, text: np.ndarray, feature: np.ndarray,
 class Chain:
     names: list[str]
     models: list[Linear] = field(default_factory=list)
+    fitted: bool = True  # False: nothing is known, so nothing is rejected
 
     def probabilities(self, rows: int, text: np.ndarray, feature: np.ndarray, count: np.ndarray) -> np.ndarray:
         """rows x categories."""
@@ -182,7 +183,7 @@ def _bags_of(features: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, categories: dict[str, str] = CATEGORIES) -> Chain:
     """The chain for docs (doc_id, text) and labels (doc_id, and what the SQL of up to eight categories names). Rows without id are left out; a null label counts as no.
 
-    It is fitted on the driver to the chosen features of at most about `limit` rows. Without labelled rows every probability is 0.5.
+    It is fitted on the driver to the chosen features of at most about `limit` rows. Without labelled rows every probability is 0.5 and nothing is rejected.
     """
     k = len(categories)
     bits = sum((F.max(F.coalesce(F.expr(sql).cast("int"), F.lit(0))) * (1 << i) for i, sql in enumerate(categories.values())), F.lit(0))
@@ -196,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, catego
     )
     sizes = {(r.fold, r.label_bits): r.n for r in rows.groupBy("fold", "label_bits").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Chain(list(categories), [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(i), 0.0) for i in range(k)])
+        return Chain(list(categories), [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(i), 0.0) for i in range(k)], fitted=False)
     shares = rows.mapInArrow(_shares, "set int, feature int, n long").groupBy("set", "feature").agg(F.sum("n").alias("n")).toArrow()
     group, feature, n = (shares.column(c).to_numpy() for c in ("set", "feature", "n"))
     chosen = []
@@ -239,12 +240,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     p = predict(docs, chain)
-    return p.select("doc_id", *[F.col(n).alias(f"p_{n}") for n in CATEGORIES], (F.col(REJECTED_BY) >= THRESHOLD).alias("rejected"))
+    return p.select("doc_id", *[F.col(n).alias(f"p_{n}") for n in CATEGORIES], (F.lit(chain.fitted) & (F.col(REJECTED_BY) >= THRESHOLD)).alias("rejected"))
 
 
 def sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of docs that the chain doesn't reject."""
     chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not chain.fitted:
+        return docs
     held = spark.sparkContext.broadcast(chain)
     column = list(chain.names).index(REJECTED_BY)
 

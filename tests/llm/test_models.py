@@ -97,3 +97,12 @@ def test_odd_rows_and_labels(spark, tmp_path):
     assert kept.schema == docs.schema
     toxic = {i for i, _, t in labels if t}
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - toxic
+
+
+def test_nothing_is_rejected_where_nothing_was_learned(spark, tmp_path):
+    rows, labels = toxic_rows(3, 20)
+    docs = frame(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i + 1000, q, t) for i, q, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.sound(spark, docs, str(tmp_path)).count() == len(rows)
+    assert not any(r.rejected for r in toxicity.query(spark, str(tmp_path)).collect())

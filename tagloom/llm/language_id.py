@@ -121,12 +121,12 @@ class Model:
 
 
 def train(docs: DataFrame, limit: int = TRAINING_DOCUMENTS) -> Model:
-    """From docs (text, lang) with both not null; about `limit` documents by the hash of their text, or all. The counts that reach the driver are bounded by the table's size and the number of languages."""
+    """From docs (text, lang) with both not null; about `limit` distinct (text, lang) by the hash of their text, or all: a repeated text counts once. The counts that reach the driver are bounded by the table's size and the number of languages."""
     labelled = docs.where("text is not null and lang is not null").select(F.lower("text").alias("text"), F.col("lang").cast("string").alias("lang"))
-    total = labelled.count()
+    total = labelled.select(F.xxhash64("text").alias("mark"), "lang").distinct().count()
     if total > limit:
         labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.lit(int(1_000_003 * limit / total)))
-    counts = labelled.mapInArrow(_counted, "lang string, number int, n long").groupBy("lang", "number").agg(F.sum("n").alias("n")).toArrow()
+    counts = labelled.distinct().mapInArrow(_counted, "lang string, number int, n long").groupBy("lang", "number").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     index = {x: i for i, x in enumerate(langs)}
     table = np.zeros((TABLE + SCRIPTS, len(langs)))

@@ -106,3 +106,12 @@ def test_nothing_is_rejected_where_nothing_was_learned(spark, tmp_path):
     spark.createDataFrame([(i + 1000, q, t) for i, q, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert toxicity.sound(spark, docs, str(tmp_path)).count() == len(rows)
     assert not any(r.rejected for r in toxicity.query(spark, str(tmp_path)).collect())
+
+
+def test_a_repeated_text_is_learned_once(spark):
+    rows, _ = sentences(4, 60)
+    often = [(1000 + i, *rows[0][1:]) for i in range(200)]
+    one, many = (language_id.train(frame(spark, x)) for x in (rows, rows + often))
+    assert one.langs == many.langs and np.array_equal(one.scores, many.scores)
+    sampled = [language_id.train(frame(spark, x), limit=20).scores for x in (rows, rows + often)]
+    assert np.array_equal(*sampled)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +20,9 @@ SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Texts are handled in pieces of about so many bytes, so that the working arrays stay in the processor's cache.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: dict[str, np.ndarray] = {}
 BYTE_VALUES = np.random.default_rng(20240117).integers(1, 2**63, 256, dtype=np.int64).view(U64) * U64(2) + U64(1)
 
 
@@ -45,25 +43,37 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """ids_and_texts with a key of its own for each document, in the order of doc_id.
 
     Rows with equal id and text are one document. If an id has several texts (or several texts have none), each of them is a document, in the order of their hashes; then keys
-    are places in that order.
+    are numbers that rise in that order.
     """
     held = ids_and_texts(docs)
     if held.groupBy("key").count().where("count > 1").isEmpty():
         return held
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = held.withColumn("mark", F.xxhash64("text"))
-    ordered = marked.select("key", "mark").distinct().sort("key", "mark").rdd.zipWithIndex()
-    places = ordered.map(lambda x: (*x[0], x[1])).toDF("key long, mark long, place long")
+    ordered = marked.select("key", "mark").distinct().repartitionByRange(parts, "key", "mark").sortWithinPartitions("key", "mark")
+    places = checkpointed(ordered.withColumn("place", F.monotonically_increasing_id()))  # ranges come in order, so these numbers do
     return marked.join(places, ["key", "mark"]).select("doc_id", F.col("place").alias("key"), "text")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df from the reliable folder named in spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    """df from the reliable folder named in spark.checkpoint.dir; a temporary folder only where none is set and all runs on one machine, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over all output bits."""
     with np.errstate(over="ignore"):
@@ -74,34 +84,56 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1024)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A value for two neighbouring ranges from theirs. It isn't linear, so sequences don't collide by their structure, as they would under a polynomial modulo 2**64."""
+    x = left * U64(0x9E3779B97F4A7C15)
+    x += right
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    return x
 
 
 class RangeHash:
-    """Hashes of any ranges of a token sequence in constant time each, from running sums of a polynomial."""
+    """64-bit hashes of any ranges (not empty) of a token sequence, each from two ranges whose length is a power of two.
+
+    Ranges over `LONG` tokens are read from end to end instead, so that few tables are held.
+    """
+
+    LONG = 1024
 
     def __init__(self, values: np.ndarray):
-        up, self.down = _powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, U64)
-        with np.errstate(over="ignore"):
-            np.cumsum(values * up[:-1], out=self.sums[1:])
+        self.values, self.levels = values, [values]
+
+    def _level(self, j: int) -> np.ndarray:
+        """Of every range of 2**j tokens, by start."""
+        while len(self.levels) <= j:
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(_joined(last[: max(0, len(last) - step)], last[step:]))
+        return self.levels[j]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        length = end - start
+        out = np.empty(len(start), U64)
+        level = np.frexp(length.astype(np.float64))[1] - 1
+        for j in np.unique(level).tolist():
+            at = np.flatnonzero(level == j)
+            if 1 << j >= self.LONG:
+                out[at] = [xxhash.xxh64_intdigest(self.values[a:b].tobytes()) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            else:
+                held = self._level(j)
+                out[at] = _joined(held[start[at]], held[end[at] - (1 << j)])
+        return mix(out + length.astype(U64))
 
     def each(self, length: int) -> np.ndarray:
-        """Of every range of that length, by start."""
-        with np.errstate(over="ignore"):
-            return mix((self.sums[length:] - self.sums[: len(self.sums) - length]) * self.down[: len(self.sums) - length])
+        """Of every range of that length, by start; as `of` has them."""
+        count = len(self.values) - length + 1
+        if count <= 0:
+            return np.zeros(0, U64)
+        if length >= self.LONG:
+            return self.of(np.arange(count), np.arange(count) + length)
+        j = length.bit_length() - 1
+        held = self._level(j)
+        return mix(_joined(held[:count], held[length - (1 << j) : length - (1 << j) + count]) + U64(length))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +175,7 @@ def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit value for each word."""
     if not len(starts):
         return np.zeros(0, U64)
-    with np.errstate(over="ignore"):
-        return mix(RangeHash(BYTE_VALUES[data]).of(starts, ends) + (ends - starts).astype(U64))
+    return RangeHash(BYTE_VALUES[data]).of(starts, ends)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -8,28 +8,39 @@ first-in-first-out lists by symbol; each list holds tuples (suffix, length of th
 moves to a file when the queue as a whole outgrows its memory budget. A whole list is taken out at a time with numpy.
 
 The turning suffixes are ordered by naming the pieces between them (the same induction orders the pieces) and sorting the
-string of names, by recursion while that string is long and by doubling in memory once it is short.
+string of names, by recursion while that string is long and has few enough names for a list each, else by doubling in memory. Whether pieces are equal, and what
+turning suffixes share, is found by looking at the symbols.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 
-from tagloom.llm.common import RangeHash, mix
-
-
 #: More than any common prefix.
 FAR = np.iinfo(np.int32).max
+#: Names are sorted by recursion up to so many different ones; more would make lists of a few entries each.
+LISTS = 1 << 12
+
+
+@dataclass
+class Work:
+    """What a sort did: times that lists moved to files, entries in them, and depth of the recursion."""
+
+    spills: int = 0
+    spilled: int = 0
+    depth: int = 0
 
 
 class SymbolQueue:
     """First-in-first-out lists of (suffix, common prefix) by symbol; over `budget` held entries, lists move to files."""
 
-    def __init__(self, budget: int):
-        self.budget, self.held = budget, 0
+    def __init__(self, budget: int, work: Work):
+        self.budget, self.held, self.work = budget, 0, work
         self.lists: dict[int, list[np.ndarray]] = {}
         self.files: dict[int, str] = {}
         self.folder: tempfile.TemporaryDirectory | None = None
@@ -42,7 +53,9 @@ class SymbolQueue:
 
     def _spill(self) -> None:
         if self.folder is None:
-            self.folder = tempfile.TemporaryDirectory(prefix="queue-")
+            self.folder = tempfile.TemporaryDirectory(prefix="queue-")  # of this task alone: nobody else reads it
+        self.work.spills += 1
+        self.work.spilled += self.held
         for symbol, parts in self.lists.items():
             path = self.files.setdefault(symbol, os.path.join(self.folder.name, str(symbol)))
             with open(path, "ab") as f:
@@ -77,26 +90,36 @@ def _rising(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Scan:
     """One pass of the induction. Entries come in the order of the pass with the prefix they share with the entry before."""
 
-    def __init__(self, text: np.ndarray, budget: int):
-        self.text, self.queue = text, SymbolQueue(budget)
-        self.since: dict[int, int] = {}  # least common prefix since the last entry put under a symbol
-        self.lowest = FAR
+    def __init__(self, text: np.ndarray, budget: int, work: Work):
+        self.text, self.queue = text, SymbolQueue(budget, work)
+        self.since: dict[int, tuple[int, int]] = {}  # by symbol: the batch that put its last entry, and the least common prefix behind that in the batch
+        self.batches, self.numbers, self.least = 0, [], []  # batches whose least common prefix is below that of all later ones
+
+    def _since(self, symbol: int) -> int:
+        """Least common prefix since the last entry put under a symbol."""
+        batch, rest = self.since[symbol]
+        i = bisect_right(self.numbers, batch)
+        return min(rest, self.least[i]) if i < len(self.least) else rest
+
+    def _seen(self, least: int) -> None:
+        while self.least and self.least[-1] >= least:
+            self.numbers.pop()
+            self.least.pop()
+        self.numbers.append(self.batches)
+        self.least.append(least)
+        self.batches += 1
 
     def induce(self, suffixes: np.ndarray, shared: np.ndarray, wanted: np.ndarray) -> None:
         """Put what each suffix induces; wanted: whether the suffix one longer belongs to this pass."""
         if not len(suffixes):
             return
-        for symbol in self.since:
-            self.since[symbol] = min(self.since[symbol], self.lowest)
-        self.lowest = FAR
         at = np.flatnonzero(wanted)
-        total = int(shared.min())
         if len(at):
             before = suffixes[at] - 1
             symbols = self.text[before]
             order = np.argsort(symbols, kind="stable")
             cuts = np.flatnonzero(np.diff(symbols[order])) + 1
-            touched = {}
+            padded = np.append(shared, np.int32(FAR))
             for group in np.split(order, cuts):
                 symbol = int(symbols[group[0]])
                 where = at[group]
@@ -104,22 +127,16 @@ class _Scan:
                 if len(where) > 1:  # each range runs from behind the last entry to this one
                     steps = np.empty(2 * (len(where) - 1), np.int64)
                     steps[0::2], steps[1::2] = where[:-1] + 1, where[1:] + 1
-                    padded = np.append(shared, np.int32(FAR))
                     least = np.minimum.reduceat(padded, steps)[0::2]
-                head = min(self.since.get(symbol, -1), int(shared[: where[0] + 1].min())) if symbol in self.since else -1
+                head = min(self._since(symbol), int(shared[: where[0] + 1].min())) if symbol in self.since else -1
                 lcp = np.append(np.int32(head), least) + np.int32(1)
                 self.queue.put(symbol, np.column_stack([before[group], lcp]))
                 tail = shared[where[-1] + 1 :]
-                touched[symbol] = int(tail.min()) if len(tail) else FAR
-            for symbol in self.since:
-                if symbol not in touched:
-                    self.since[symbol] = min(self.since[symbol], total)
-            self.since |= touched
-        else:
-            self.lowest = total
+                self.since[symbol] = self.batches, int(tail.min()) if len(tail) else FAR
+        self._seen(int(shared.min()))
 
 
-def _induced(text: np.ndarray, up: np.ndarray, runs: np.ndarray, seeds: np.ndarray, seed_shared: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _induced(text: np.ndarray, up: np.ndarray, runs: np.ndarray, seeds: np.ndarray, seed_shared: np.ndarray, budget: int, work: Work) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, with the prefix each shares with the one before, from ordered seeds."""
     n = len(text)
     seeds, seed_shared, runs = (x.astype(np.int32) for x in (seeds, seed_shared, runs))
@@ -130,7 +147,7 @@ def _induced(text: np.ndarray, up: np.ndarray, runs: np.ndarray, seeds: np.ndarr
     before_falls = np.append(False, falling[:-1])
     before_rises = np.append(False, up[:-1])
     lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    scan = _Scan(text, budget)
+    scan = _Scan(text, budget, work)
     try:
         for c, lo, hi in zip(symbols.tolist(), *map(np.ndarray.tolist, bounds), strict=True):
             taken, shares, first = [], [], True
@@ -151,7 +168,7 @@ def _induced(text: np.ndarray, up: np.ndarray, runs: np.ndarray, seeds: np.ndarr
     finally:
         scan.queue.close()
     # Downwards; each entry's value is the prefix it shares with the one before it in this pass, its upper neighbour.
-    scan = _Scan(text, budget)
+    scan = _Scan(text, budget, work)
     out, common = np.empty(n, np.int32), np.zeros(n, np.int32)
     end = n
     try:
@@ -206,23 +223,31 @@ def doubled_order(names: np.ndarray) -> np.ndarray:
         h *= 2
 
 
-def _common_prefix(a: np.ndarray, b: np.ndarray, hashed: RangeHash, limit: int) -> np.ndarray:
+def _common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int) -> np.ndarray:
     """Lengths of the common prefixes of the suffixes at a and b, up to limit."""
-    n = len(hashed.sums) - 1
-    room = np.minimum(n - np.maximum(a, b), limit)
+    room = np.minimum(len(text) - np.maximum(a, b), limit)
     same = np.zeros(len(a), np.int64)
-    step = 1 << max(0, int(limit).bit_length() - 1)
-    while step:
-        fits = same + step <= room
-        x, y = a[fits] + same[fits], b[fits] + same[fits]
-        same[np.flatnonzero(fits)[hashed.of(x, x + step) == hashed.of(y, y + step)]] += step
-        step //= 2
+    if text.dtype == np.uint16 and len(text) > 4:  # four symbols at a time
+        four = text[:-3].astype(np.uint64)
+        for i in (1, 2, 3):
+            four |= text[i : len(text) - 3 + i].astype(np.uint64) << np.uint64(16 * i)
+        live = np.flatnonzero(room >= 4)
+        while len(live):
+            live = live[four[a[live] + same[live]] == four[b[live] + same[live]]]
+            same[live] += 4
+            live = live[same[live] + 4 <= room[live]]
+    live = np.flatnonzero(same < room)
+    while len(live):
+        live = live[text[a[live] + same[live]] == text[b[live] + same[live]]]
+        same[live] += 1
+        live = live[same[live] < room[live]]
     return same
 
 
-def suffix_order(text: np.ndarray, limit: int, budget: int = 1 << 20, short: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """The order of all suffixes of an integer string whose last symbol is the unique smallest one, and the prefix each shares with
-    the one before it, exact up to `limit` and at least that beyond. budget: queue entries in memory; short: length from which names are sorted by recursion."""
+def suffix_order(text: np.ndarray, limit: int, budget: int = 1 << 20, short: int = 1 << 21, work: Work | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes of an integer string whose last symbol is the unique smallest one, and the prefix each shares with the one before it, exact up to `limit` and
+    at least that beyond. budget: queue entries in memory; short: length from which names are sorted by recursion; work: counts what was done."""
+    work = Work() if work is None else work
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32), np.zeros(1, np.int32)
@@ -232,27 +257,30 @@ def suffix_order(text: np.ndarray, limit: int, budget: int = 1 << 20, short: int
         seeds = turning
     else:
         by_symbol = turning[np.argsort(text[turning], kind="stable")]
-        order, _ = _induced(text, up, runs, by_symbol, np.zeros(len(by_symbol), np.int64), budget)
+        order, _ = _induced(text, up, runs, by_symbol, np.zeros(len(by_symbol), np.int64), budget, work)
         marks = np.zeros(n, bool)
         marks[turning] = True
-        pieces = order[marks[order]]
+        pieces = order[marks[order]].astype(np.int64)
         following = np.empty(n, np.int64)
         following[turning] = np.append(turning[1:], n - 1) + 1
-        ends = np.minimum(following[pieces], n)
-        hashed = RangeHash(mix(text.astype(np.uint64) + np.uint64(1)))
-        value = hashed.of(pieces, ends)
-        new = np.append(False, (value[1:] != value[:-1]) | (np.diff(ends - pieces) != 0))
+        length = np.minimum(following[pieces], n) - pieces
+        new = np.ones(len(pieces), bool)
+        new[0] = False
+        alike = np.flatnonzero(length[1:] == length[:-1])
+        same = _common_prefix(text, pieces[alike], pieces[alike + 1], length[alike])
+        new[1 + alike[same == length[alike]]] = False
         name = np.empty(n, np.int64)
         name[pieces] = np.cumsum(new)
         names = name[turning]
-        if new.sum() + 1 == len(turning):
+        kinds = int(new.sum()) + 1
+        if kinds == len(turning):
             seeds = pieces
-        elif len(names) > short:
-            seeds = turning[suffix_order(names, 1, budget, short)[0]]
+        elif len(names) > short and kinds <= LISTS:
+            work.depth += 1
+            seeds = turning[suffix_order(names, 1, budget, short, work)[0]]
         else:
             seeds = turning[doubled_order(names)]
-    hashed = RangeHash(mix(text.astype(np.uint64) + np.uint64(1)))
     shared = np.zeros(len(seeds), np.int64)
     if len(seeds) > 1:
-        shared[1:] = _common_prefix(seeds[:-1], seeds[1:], hashed, limit)
-    return _induced(text, up, runs, seeds, shared, budget)
+        shared[1:] = _common_prefix(text, seeds[:-1], seeds[1:], limit)
+    return _induced(text, up, runs, seeds, shared, budget, work)

@@ -15,22 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import distinct_documents, documents
-from tagloom.llm.induced import suffix_order
+from tagloom.llm.induced import Work, suffix_order
 from tagloom.llm.repeats import Windows, covered, gone_arrays, repeated_windows
 
 WIDTH = 100
-#: Queue entries that a shard's sort keeps in memory; more go to disk.
-QUEUE_ENTRIES = 2 << 20
+#: A shard's bytes; queue entries that its sort keeps in memory (more go to disk); names over which they are sorted by recursion.
+SHARD_BYTES, QUEUE_ENTRIES, SHORT = 8 << 20, 1 << 17, 1 << 18
 
 
-def _resolve(width: int):
+def _resolve(width: int, work: Work | None = None):
     def run(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray, owner: np.ndarray) -> np.ndarray:
         count = len(offsets) - 1
         text = np.ones(len(data) + count + 1, np.uint16)  # 0 ends the shard, 1 ends a segment, a byte b is b + 2
         text[-1] = 0
         shift = np.repeat(np.arange(count), np.diff(offsets))
         text[np.arange(len(data)) + shift] = data.astype(np.uint16) + 2
-        order, shared = suffix_order(text, width, QUEUE_ENTRIES)
+        order, shared = suffix_order(text, width, QUEUE_ENTRIES, SHORT, work)
         number = np.empty(len(text), np.int64)
         number[order] = np.cumsum(shared < width)
         return number[windows + owner]
@@ -40,7 +40,7 @@ def _resolve(width: int):
 
 def with_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """key, doc_id, text and gone: the windows of `width` bytes that also start earlier."""
-    spec = Windows(width=width, gram=max(1, width // 3), words=False, within=True)
+    spec = Windows(width=width, gram=max(1, width // 3), words=False, within=True, shard_bytes=SHARD_BYTES)
     return repeated_windows(distinct_documents(docs), spec, _resolve(width))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import BYTE_VALUES, U64, RangeHash, chunks, documents, ranges, text_bytes
+from tagloom.llm.common import BYTE_VALUES, U64, RangeHash, chunks, documents, in_arrow, ranges, text_bytes
 
 # Unicode's White_Space, and the contractions of the split pattern by their length.
 WHITE_SPACE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -42,8 +42,8 @@ PAD = 16
 BLOCK = 256
 #: Pieces up to so many bytes are merged side by side, longer ones with a heap each.
 SHORT_PIECE = 32
-#: A worker forgets its pieces once it knows so many.
-CACHE_PIECES = 400_000
+#: A worker forgets its pieces once it knows so many, or so many bytes of them.
+CACHE_PIECES, CACHE_BYTES = 100_000, 8 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -283,6 +283,7 @@ class Codec:
 
     def forget(self) -> None:
         self.entries: dict[bytes, int] = {}
+        self.size = 0
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, np.int32), 0
 
@@ -314,10 +315,16 @@ class Codec:
         self.used += total
         for i, (piece, _) in enumerate(known):
             self.entries[piece] = first + i
+            self.size += len(piece)
+
+    @staticmethod
+    def _alike(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, others: np.ndarray) -> bool:
+        """Whether all pieces, which follow one another, have the bytes of the pieces numbered in others."""
+        return bool((lengths[others] == lengths).all() and (data[ranges(starts[others], lengths)] == data[starts[0] :]).all())
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids of all texts, the byte (in data) where each token begins, and where each text's ids begin."""
-        if len(self.entries) > CACHE_PIECES:
+        if len(self.entries) > CACHE_PIECES or self.size > CACHE_BYTES:
             self.forget()
         raw = data.tobytes()
         points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
@@ -328,8 +335,11 @@ class Codec:
         firsts = np.unique(np.searchsorted(places, offsets[:-1][np.diff(offsets) > 0]))
         starts = places[piece_starts(code_point_kinds(points, firsts))]
         ends = np.append(starts[1:], len(data))
-        hashed = RangeHash(BYTE_VALUES[data]).of(starts, ends) + (ends - starts).astype(U64)
-        _, sample, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        _, sample, inverse = np.unique(RangeHash(BYTE_VALUES[data]).of(starts, ends), return_index=True, return_inverse=True)
+        if not self._alike(data, starts, ends - starts, sample[inverse]):  # two pieces share a hash: number them by what they are
+            numbers: dict[bytes, int] = {}
+            inverse = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+            sample = np.unique(inverse, return_index=True)[1]
         pieces = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
         if new := [p for p in pieces if p not in self.entries]:
             self._learn(new)
@@ -358,7 +368,9 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<int>, offsets array<int> (the byte of the text where each token begins), one row for each row of docs; a null text is empty.
+    """doc_id, ids array<int>, offsets array<int> (the byte of the text where each token begins), one row for each row of docs.
+
+    A null or empty text has no tokens. Repeated rows and ids each have their row, and a null doc_id stays null. Other columns are ignored; an empty table gives an empty one.
 
     path: a rank file (base64 of a token's bytes, a blank, the rank in each line) that every executor can open.
     """
@@ -373,7 +385,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, starts)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *lists], names=["doc_id", "ids", "offsets"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, ids array<int>, offsets array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -389,11 +401,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text binary")
+    return in_arrow(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), run, "doc_id long, text binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_bytes of each row: encoded, and decoded from the ids again. A null text is empty."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_bytes of each row: encoded, and decoded from the ids again.
+
+    A null or empty text has no tokens. Repeated rows and ids each have their row, and a null doc_id stays null. Texts of any length are encoded whole. Other columns are ignored; an empty
+    table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -416,7 +432,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return in_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
 
 
 def default_path() -> str:

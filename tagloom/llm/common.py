@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows whose doc_id is null count as one document that comes before all others.
 NULL_ID = -(2**63)
@@ -74,6 +76,31 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries give freed memory back by themselves
+    _trim = None
+
+
+def give_back() -> None:
+    """Gives freed memory that this process's allocators hold back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), where a worker gives back after each partition what its allocators hold: workers live on for later stages, beside the executor's own memory."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(released, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over all output bits."""
     with np.errstate(over="ignore"):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import checkpointed
+from tagloom.llm.common import checkpointed, in_arrow
 
 K, SCALE, QUERY_STEP = 5, 256, 50
 BUCKET, QUERIES = 4096, 512
@@ -139,7 +139,7 @@ def _scored(queries: DataFrame, buckets: DataFrame, k: int, slots: int) -> DataF
     met = queries.join(buckets, (F.col("q_dims") == F.col("dims")) & (F.col("q_slot") == F.col("slot")) & reach)
     columns = ["dims", "query_ids", "queries", "beat", "ids", "vectors"]
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.select(*columns).repartition(parts).mapInArrow(_pairs(k), "query_id long, vec_id long, score long")
+    return in_arrow(met.select(*columns).repartition(parts), _pairs(k), "query_id long, vec_id long, score long")
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _with_beat(queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
     owner = queries.select("q_number", F.explode("members").alias("query_id"))
     scores = owner.join(known, "query_id").groupBy("q_number").agg(F.collect_list(F.struct("query_id", "score")).alias("scores"))
     joined = queries.drop("beat", "lowest", "members").join(scores, "q_number", "left").select("q_dims", "query_ids", "queries", "q_longest", "scores")
-    return joined.mapInArrow(run, "q_dims int, query_ids binary, queries binary, q_longest double, beat binary, lowest double")
+    return in_arrow(joined, run, "q_dims int, query_ids binary, queries binary, q_longest double, beat binary, lowest double")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -177,9 +177,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = checkpointed(integer_vectors(vectors, scale))
     sorted_rows = own.repartitionByRange(parts, "dims", F.desc("norm"), "vec_id").sortWithinPartitions("dims", F.desc("norm"), "vec_id")
-    buckets = checkpointed(sorted_rows.mapInArrow(_packed(BUCKET), _BLOCKS))
+    buckets = checkpointed(in_arrow(sorted_rows, _packed(BUCKET), _BLOCKS))
     asked = own.where(is_query).repartitionByRange(max(1, parts // 4), "dims", F.desc("norm"), "vec_id").sortWithinPartitions("dims", F.desc("norm"), "vec_id")
-    blocks = asked.mapInArrow(_packed(QUERIES), _BLOCKS).select(
+    blocks = in_arrow(asked, _packed(QUERIES), _BLOCKS).select(
         F.col("dims").alias("q_dims"), F.xxhash64("ids").alias("q_number"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.col("longest").alias("q_longest"),
         F.lit(None).cast("binary").alias("beat"), F.lit(None).cast("double").alias("lowest"),
     )
@@ -189,7 +189,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
             lists = [np.frombuffer(x, "<i8").tolist() for x in batch.column("query_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*batch.schema.names, "members"])
 
-    blocks = checkpointed(blocks.mapInArrow(members, "q_dims int, q_number long, query_ids binary, queries binary, q_longest double, beat binary, lowest double, members array<long>"))
+    blocks = checkpointed(in_arrow(blocks, members, "q_dims int, q_number long, query_ids binary, queries binary, q_longest double, beat binary, lowest double, members array<long>"))
     slots = max(1, buckets.count())
     seeds = buckets.where(F.pmod("number", F.lit(FIRST_ROUND)) == 0)
     first = _ranked(_scored(blocks, seeds, k, max(1, slots // FIRST_ROUND)), k)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.byte_bpe import LETTER, _classes
-from tagloom.llm.common import U64, RangeHash, chunks, documents, mix, text_bytes
+from tagloom.llm.common import U64, RangeHash, chunks, documents, in_arrow, mix, text_bytes
 
 # Where ranges of code points of one script begin (0: none or other; 1: Latin).
 SCRIPT_STARTS = np.array([
@@ -126,7 +126,7 @@ def train(docs: DataFrame, limit: int = TRAINING_DOCUMENTS) -> Model:
     total = labelled.select(F.xxhash64("text").alias("mark"), "lang").distinct().count()
     if total > limit:
         labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.lit(int(1_000_003 * limit / total)))
-    counts = labelled.distinct().mapInArrow(_counted, "lang string, number int, n long").groupBy("lang", "number").agg(F.sum("n").alias("n")).toArrow()
+    counts = in_arrow(labelled.distinct(), _counted, "lang string, number int, n long").groupBy("lang", "number").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     index = {x: i for i, x in enumerate(langs)}
     table = np.zeros((TABLE + SCRIPTS, len(langs)))
@@ -212,7 +212,7 @@ def label_spans(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFr
                 )
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, end long, lang string")
+    return in_arrow(rows, run, "doc_id long, start long, end long, lang string")
 
 
 def predict(docs: DataFrame, model: Model, switch: float = SWITCH, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -241,7 +241,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, keep: tuple[s
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     kept = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.mapInArrow(run, f"doc_id long, {kept}lang_pred string, score double")
+    return in_arrow(rows, run, f"doc_id long, {kept}lang_pred string, score double")
 
 
 def _remainder() -> Column:

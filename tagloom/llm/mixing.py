@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import NULL_ID, U64, WORD_PATTERN, checkpointed, documents, mix
+from tagloom.llm.common import NULL_ID, U64, WORD_PATTERN, checkpointed, documents, free_name, in_arrow, mix
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -23,7 +23,7 @@ FAN = 128
 SEED = 20240611
 CLOSE = 1e-9
 
-_ROUNDED = "source_rank int, node long, key long, words long, whole int, part double, settled boolean"
+_ROUNDED = "source_rank int, node long, key long, words long, whole int, part double, number int, settled boolean"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -47,11 +47,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return reached.select("source", "source_size", "n_docs", "source_rank", F.when(F.col("reached").isNull(), F.col("most")).otherwise(F.least("most", F.col("reached") * F.col("weight"))).alias("target"))
 
 
-def _random(a: int, b: int, level: int) -> float:
+def _random(a: int, a_number: int, b: int, b_number: int, level: int) -> float:
     """A number in [0, 1) that only depends on the pair and the level."""
-    with np.errstate(over="ignore"):
-        x = mix(np.array([a], np.int64).view(U64) + U64(SEED))
-        x = mix(x * U64(3) + np.array([b], np.int64).view(U64) + U64(level))
+    x = np.full(1, SEED, U64)
+    for part in (a, a_number, b, b_number, level):
+        x = mix(x * U64(3) + np.array([part], np.int64).view(U64))
     return int(x[0] >> U64(11)) / 2**53
 
 
@@ -69,10 +69,10 @@ def _settle(level: int, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, held = None, None
-        names = ["source_rank", "node", "key", "words", "whole", "part", "settled"]
+        names = _SCHEMA.names
 
         def done(row: list, part: float, settled: bool) -> list:
-            return [*row[:4], row[4] + (int(part) if settled else 0), 0.0 if settled else part, settled]
+            return [*row[:4], row[4] + (int(part) if settled else 0), 0.0 if settled else part, row[6], settled]
 
         def alone() -> list:
             return done(held, float(round(held[5])), True) if last else done(held, held[5], False)
@@ -90,8 +90,8 @@ def _settle(level: int, last: bool):
                 elif held is None:
                     held = row
                 else:
-                    p, q = pivot((held[5], held[3]), (row[5], row[3]), _random(held[2], row[2], level))
-                    mine, other, held = [*held[:5], p], [*row[:5], q], None
+                    p, q = pivot((held[5], held[3]), (row[5], row[3]), _random(held[2], held[6], row[2], row[6], level))
+                    mine, other, held = [*held[:5], p, held[6]], [*row[:5], q, row[6]], None
                     for x in (mine, other):
                         if x[5] in (0.0, 1.0):
                             out.append(done(x, x[5], True))
@@ -105,14 +105,14 @@ def _settle(level: int, last: bool):
     return run
 
 
-_SCHEMA = pa.schema([("source_rank", pa.int32()), ("node", pa.int64()), ("key", pa.int64()), ("words", pa.int64()), ("whole", pa.int32()), ("part", pa.float64()), ("settled", pa.bool_())])
+_SCHEMA = pa.schema([("source_rank", pa.int32()), ("node", pa.int64()), ("key", pa.int64()), ("words", pa.int64()), ("whole", pa.int32()), ("part", pa.float64()), ("number", pa.int32()), ("settled", pa.bool_())])
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, source, words, source_size, target (of its source) and copies (how often the mix takes it) for each row of docs.
 
-    A null text has no words and is taken no time, as any text without words. Null is a source of its own, the last one. Rows that share a doc_id must be equal in text and source: they
-    are counted one by one and get the copies of one of them each. The same rows give the same result in any order and partitioning.
+    A null text has no words and is taken no time, as any text without words. Null is a source of its own, the last one. Rows that share a doc_id are counted and rounded one by one.
+    Other columns are ignored; an empty table gives an empty one. The same rows give the same result in any order and partitioning.
     """
     spark = docs.sparkSession
     sizes = docs.select(
@@ -126,14 +126,13 @@ def mixture(docs: DataFrame) -> DataFrame:
     nodes = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / FAN)).cast("long")
     rate = F.when(F.col("words") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = checkpointed(sizes.join(goals, sizes.source.eqNullSafe(goals.source)).drop(goals.source))
-    # equal ids would be one document in two places: number them
-    same = Window.partitionBy("key").orderBy("source_rank", "words")
-    joined = joined.withColumn("copy_number", F.row_number().over(same))
+    # equal ids would be one document in two places: number those that nothing else tells apart
+    row = ["source_rank", "key", "words"]
+    joined = joined.withColumn("number", F.row_number().over(Window.partitionBy(*row).orderBy(F.lit(1))))
     rows = joined.select(
         "source_rank",
-        F.pmod(F.xxhash64("key", "copy_number"), nodes).alias("node"),
-        F.xxhash64("key", "copy_number").alias("id"),
-        "key", "copy_number", "doc_id", "source", "words", "source_size", "target", "n_docs", rate.alias("rate"),
+        F.pmod(F.xxhash64("key", "words", "number"), nodes).alias("node"),
+        "key", "number", "doc_id", "source", "words", "source_size", "target", "n_docs", rate.alias("rate"),
     )
     rows = checkpointed(rows)
     most = rows.agg(F.max("n_docs")).first()[0] or 0
@@ -141,17 +140,17 @@ def mixture(docs: DataFrame) -> DataFrame:
     while width > 1:
         levels, width = levels + 1, -(-width // FAN)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    waiting = rows.select("source_rank", "node", F.col("id").alias("key"), "words", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"))
+    waiting = rows.select("source_rank", "node", "key", "words", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"), "number")
     settled = []
     for level in range(levels):
-        sorted_nodes = waiting.repartition(parts, "source_rank", "node").sortWithinPartitions("source_rank", "node", F.desc("words"), "key")
-        out = checkpointed(sorted_nodes.mapInArrow(_settle(level, level == levels - 1), _ROUNDED))
-        settled.append(out.where("settled").select(F.col("key").alias("id"), F.col("whole").alias("copies")))
-        waiting = out.where("not settled").select("source_rank", F.floor(F.col("node") / FAN).alias("node"), "key", "words", "whole", "part")
+        sorted_nodes = waiting.repartition(parts, "source_rank", "node").sortWithinPartitions("source_rank", "node", F.desc("words"), "key", "number")
+        out = checkpointed(in_arrow(sorted_nodes, _settle(level, level == levels - 1), _ROUNDED))
+        settled.append(out.where("settled").select(*row, "number", F.col("whole").alias("copies")))
+        waiting = out.where("not settled").select("source_rank", F.floor(F.col("node") / FAN).alias("node"), "key", "words", "whole", "part", "number")
     copies = settled[0]
     for more in settled[1:]:
         copies = copies.unionByName(more)
-    return rows.join(copies, "id").select("doc_id", "source", "words", "source_size", "target", "copies")
+    return rows.join(copies, [*row, "number"]).select("doc_id", "source", "words", "source_size", "target", "copies")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +159,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def taken(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of docs as often as the mix takes them. A document that it takes twice comes as two equal rows; one that it takes no time goes."""
-    mixed = mixture(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("mixed_key"), "copies").groupBy("mixed_key").agg(F.max("copies").alias("mixed_copies"))
+    """Pipeline stage: the rows of docs as often as the mix takes them. A document that it takes twice comes as two equal rows; one that it takes no time goes, and so does one without words.
+
+    Rows that share a doc_id (or have none) each come as often as the mix takes one of them at most. All columns stay, whatever their names. An empty table gives an empty one.
+    """
+    own = free_name(docs, "mixing")
+    mixed = mixture(docs).groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key")).agg(F.max("copies").alias("copies")).select(F.struct("key", "copies").alias(own))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    joined = docs.withColumn("mixed_key", key).join(mixed, "mixed_key").where("mixed_copies > 0")
-    return joined.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), "mixed_copies"))).select(*docs.columns)
+    joined = docs.join(mixed, key == F.col(f"{own}.key")).where(F.col(f"{own}.copies") > 0)
+    return joined.withColumn(own, F.explode(F.sequence(F.lit(1), F.col(f"{own}.copies")))).select(*docs.columns)

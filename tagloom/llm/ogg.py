@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import documents, text_bytes
+from tagloom.llm.common import documents, in_arrow, text_bytes
 
 # Fixed values of the container format: capture pattern, header fields, flags, and the limit of lacing values in a page.
 CAPTURE = b"OggS"
@@ -171,7 +171,7 @@ def write_media(docs: DataFrame) -> DataFrame:
             texts = [x.as_buffer().to_pybytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array([write(padded(x)) for x in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def read_media(media: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, serial long, packet long, seconds double, data binary, error string")
+    return in_arrow(media.select(F.col("doc_id").cast("long").alias("doc_id"), "media"), run, "doc_id long, serial long, packet long, seconds double, data binary, error string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_arrow(rows, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import BYTE_VALUES, U64, RangeHash, chunks, mix, ranges, text_bytes, word_spans, word_values
+from tagloom.llm.common import BYTE_VALUES, U64, RangeHash, chunks, in_arrow, mix, ranges, text_bytes, word_spans, word_values
 
 SEGMENTS = "prefix long, run long, key long, start int"
 HALVES = SEGMENTS + ", content binary"
@@ -360,7 +360,7 @@ def repeated_windows(texts: DataFrame, spec: Windows, resolve: Resolver) -> Data
     texts has key (not null; smaller keys are earlier), doc_id and text (not null). Rows that share a key are one document.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.select("key", "text").mapInArrow(_segment_rows(spec), SEGMENTS)
+    rows = in_arrow(texts.select("key", "text"), _segment_rows(spec), SEGMENTS)
     by_text = (
         _compared(rows, spec)
         .groupBy("key")
@@ -371,18 +371,14 @@ def repeated_windows(texts: DataFrame, spec: Windows, resolve: Resolver) -> Data
     )
     # All uses of `held` take all of its columns: so the texts are shuffled once and the exchange is used again.
     held = texts.join(by_text, "key", "left").select("key", "doc_id", "text", "gone", "asked")
-    of = lambda crowded: held.select("key", "text", F.filter("asked", lambda x: (x["salt"] > 0) == F.lit(crowded)).alias("asked")).where(F.size("asked") > 0)
-    whole = of(False).mapInArrow(_contents(spec), REQUESTS)
-    longer = _compared(of(True).mapInArrow(_halved(spec), HALVES), spec, "content")
+    of = lambda crowded: held.withColumn("asked", F.filter("asked", lambda x: (x["salt"] > 0) == F.lit(crowded))).where(F.size("asked") > 0)
+    whole = in_arrow(of(False), _contents(spec), REQUESTS)
+    longer = _compared(in_arrow(of(True), _halved(spec), HALVES), spec, "content")
     longer = longer.select(
         F.coalesce("prefix", F.xxhash64("key", "start")).alias("prefix"), "salt", "key", "start", "windows", F.when(F.col("prefix").isNotNull(), F.col("content")).alias("content")
     )
-    found = (
-        whole.unionByName(longer)
-        .repartition(parts, "prefix", "salt")
-        .sortWithinPartitions("prefix", "salt", "key", "start")
-        .mapInArrow(_resolved(spec, resolve), FINDINGS)
-    )
+    groups = whole.unionByName(longer).repartition(parts, "prefix", "salt").sortWithinPartitions("prefix", "salt", "key", "start")
+    found = in_arrow(groups, _resolved(spec, resolve), FINDINGS)
     place = F.struct("key", "start") if spec.within else F.struct("key")
     met = found.withColumn("first", F.min(place).over(Window.partitionBy("window_a", "window_b")))
     late = met.where((F.col("window_b") == 0) | (place != F.col("first")))

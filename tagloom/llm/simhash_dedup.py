@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import checkpointed, documents, ids_and_texts
+from tagloom.llm.common import checkpointed, documents, ids_and_texts, in_arrow
 from tagloom.llm.components import components
 
 DISTANCE = 2
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             out = [majority(shingle_hashes(x.as_buffer().to_pybytes(), shingle)) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(out, pa.int64())], names=["key", "doc_id", "fingerprint"])
 
-    return ids_and_texts(docs).mapInArrow(run, "key long, doc_id long, fingerprint long")
+    return in_arrow(ids_and_texts(docs), run, "key long, doc_id long, fingerprint long")
 
 
 def _segment(k: int) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import NULL_ID, distinct_documents, documents
+from tagloom.llm.common import NULL_ID, distinct_documents, documents, free_name, in_arrow
 from tagloom.llm.repeats import Windows, covered, gone_arrays, repeated_windows
 from tagloom.llm.subtrees import subtree
 
@@ -68,7 +68,7 @@ def _applied(width: int, texts: bool):
 def _removed(docs: DataFrame, width: int, texts: bool) -> DataFrame:
     """doc_id, mark (the hash of the text), n_words, n_removed, kept."""
     marked = with_repeats(docs, width).withColumn("mark", F.xxhash64("text"))
-    return marked.mapInArrow(_applied(width, texts), "doc_id long, mark long, n_words long, n_removed long, kept string")
+    return in_arrow(marked, _applied(width, texts), "doc_id long, mark long, n_words long, n_removed long, kept string")
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -85,16 +85,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with repeated passages removed; one that lost all its words goes. A text that loses nothing stays byte for byte."""
-    key, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
-    changed = _removed(docs, WIDTH, texts=True).where("n_removed > 0")
-    changed = changed.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("changed_key"), F.col("mark").alias("changed_mark"), F.col("n_removed").alias("changed_by"), F.col("n_words").alias("changed_from"), F.col("kept").alias("changed_text"))
-    changed = changed.dropDuplicates(["changed_key", "changed_mark"])
-    joined = docs.withColumns({"changed_key": key, "changed_mark": mark}).join(changed, ["changed_key", "changed_mark"], "left")
-    text = F.when(F.col("changed_by") > 0, F.col("changed_text")).otherwise(F.col("text"))
-    return joined.where("changed_by is null or changed_by < changed_from").select(
-        *[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns]
-    )
+    """Pipeline stage: documents with repeated passages removed; one that lost all its words goes. A text that loses nothing stays byte for byte.
+
+    A null or empty text has no words and stays. Null doc_ids come before all others; of several texts of one id each is a document, and all rows of equal id and text lose the same.
+    All columns stay, whatever their names, with n_chars made to fit. An empty table gives an empty one.
+    """
+    own = free_name(docs, "substring_dedup")
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    changed = _removed(docs, WIDTH, texts=True).where("n_removed > 0").select(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "mark").alias("place"), "n_removed", "n_words", "kept")
+    changed = changed.dropDuplicates(["place"]).select("place", F.struct("n_removed", "n_words", "kept").alias("change"))
+    held = docs.select(F.struct(place.alias("place"), F.struct(*docs.columns).alias("row")).alias(own))
+    joined = held.join(changed, F.col(f"{own}.place") == F.col("place"), "left").where("change is null or change.n_removed < change.n_words")
+    row, text = F.col(f"{own}.row"), F.coalesce(F.col("change.kept"), F.col(f"{own}.row")["text"])
+    return joined.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else row[c]).alias(c) for c in docs.columns])
 
 
 ORACLE = f"""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import distinct_documents, documents
+from tagloom.llm.common import distinct_documents, documents, in_arrow
 from tagloom.llm.induced import Work, suffix_order
 from tagloom.llm.repeats import Windows, covered, gone_arrays, repeated_windows
 
@@ -77,10 +77,10 @@ def suffix_array_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     A null text is empty. Null doc_ids come before all others. Rows with equal id and text are one document; if an id has several texts, each is a document, in the order
     of their hashes. Texts shorter than `width` bytes are left alone. Other columns of docs are ignored.
     """
-    return with_repeats(docs, width).mapInArrow(_applied(width, contents=True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return in_arrow(with_repeats(docs, width), _applied(width, contents=True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_repeats(documents(spark, sf_dir)).mapInArrow(_applied(WIDTH, contents=False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
+    out = in_arrow(with_repeats(documents(spark, sf_dir)), _applied(WIDTH, contents=False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.byte_bpe import LETTER, _classes
-from tagloom.llm.common import U64, RangeHash, chunks, documents, mix, text_bytes
+from tagloom.llm.common import U64, RangeHash, chunks, documents, in_arrow, mix, text_bytes
 
 #: In the order of the chain: name and SQL over labels. Junk is seldom toxic by its wording alone, so it comes first.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_and_sound": "toxic = 1 and quality = 1"}
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, catego
     sizes = {(r.fold, r.label_bits): r.n for r in rows.groupBy("fold", "label_bits").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Chain(list(categories), [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(i), 0.0) for i in range(k)], fitted=False)
-    shares = rows.mapInArrow(_shares, "set int, feature int, n long").groupBy("set", "feature").agg(F.sum("n").alias("n")).toArrow()
+    shares = in_arrow(rows, _shares, "set int, feature int, n long").groupBy("set", "feature").agg(F.sum("n").alias("n")).toArrow()
     group, feature, n = (shares.column(c).to_numpy() for c in ("set", "feature", "n"))
     chosen = []
     for i in range(k):
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, catego
             own.append(telling(sum(counted.values()), sum(c for x, c in counted.items() if x[1] >> i & 1), yes, every))
         chosen.append(own)
     every = np.unique(np.concatenate([x for own in chosen for x in own]))
-    found = rows.mapInArrow(_bags_of(every), "fold int, label_bits int, bag binary").orderBy("bag", "fold", "label_bits").toArrow()  # in an order that doesn't depend on how the rows lay
+    found = in_arrow(rows, _bags_of(every), "fold int, label_bits int, bag binary").orderBy("bag", "fold", "label_bits").toArrow()  # in an order that doesn't depend on how the rows lay
     raw = [np.frombuffer(x, "<i4").reshape(2, -1) for x in found.column("bag").to_pylist()]
     text = np.repeat(np.arange(len(raw)), [x.shape[1] for x in raw])
     column, count = np.concatenate(raw, axis=1).astype(np.int64)
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c) for c in p.T]], names=["doc_id", *chain.names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in chain.names))
+    return in_arrow(rows, run, "doc_id long, " + ", ".join(f"{n} double" for n in chain.names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,4 +257,4 @@ def sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for part, *found in _pieces(batch):
                 yield part.filter(pa.array(chain.probabilities(part.num_rows, *found)[:, column] < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

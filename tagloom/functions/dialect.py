@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,11 @@ def steady_sql(x: str, digits: int) -> str:
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value evaluated a single time, wherever the optimizer moves or copies what is made of it; it also keeps generated code small."""
     return F.get(F.transform(F.array(value), use), 0)
+
+
+def where_once(rows: DataFrame, name: str, value: Column, test: Callable[[Column], Column]) -> DataFrame:
+    """rows with value as column `name` (in place of one of that name), where test(value) holds. The value is evaluated a single time: an ordinary filter would be moved below
+    the column and repeat what it is made of."""
+    others = [c for c in rows.columns if c != name]
+    kept = F.explode(F.filter(F.array(value), test)).alias(name)
+    return rows.select(*[kept if c == name else F.col(c) for c in rows.columns]) if len(others) < len(rows.columns) else rows.select("*", kept)

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.functions.dialect import SQUEEZE, STRIP, Step, quoted, replaced, replaced_sql
+from tagloom.functions.dialect import SQUEEZE, STRIP, Step, once, quoted, replaced, replaced_sql
 
 # The replacements that define the normal form, in order.
 WHITESPACE = [
@@ -186,10 +186,13 @@ def repaired(text: Column) -> Column:
 
 def is_valid(text: Column) -> Column:
     """At least two letters or digits, and punctuation is at most three quarters."""
-    text = detection_form(text)
-    alphanumeric = F.length(F.regexp_replace(text, "[^A-Za-z0-9]", ""))
-    punctuation = F.length(F.regexp_replace(text, r"[A-Za-z0-9\s]", ""))
-    return (F.length(text) >= 2) & (alphanumeric >= 2) & (punctuation <= F.length(text) * F.lit(0.75))
+
+    def readable(form: Column) -> Column:
+        alphanumeric = F.length(F.regexp_replace(form, "[^A-Za-z0-9]", ""))
+        punctuation = F.length(F.regexp_replace(form, r"[A-Za-z0-9\s]", ""))
+        return (F.length(form) >= 2) & (alphanumeric >= 2) & (punctuation <= F.length(form) * F.lit(0.75))
+
+    return once(detection_form(text), readable)
 
 
 def is_valid_sql(text: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import geometry
-from tagloom.functions.dialect import matches_sql, once, quoted, replaced, replaced_sql, steady, steady_sql
+from tagloom.functions.dialect import matches_sql, once, quoted, replaced, replaced_sql, steady, steady_sql, where_once
 from tagloom.functions.similarity import fuzzy_scores
 from tagloom.functions.text import NORMAL_FORM, compacted, compatible, searchable
 
@@ -140,10 +140,9 @@ def scored(detections: DataFrame, fuzzy: bool = True, ascii_only: bool = False)
         scores = once(searchable(text), lambda found: F.array(*[one(found, i, f) for i, f in enumerate(FIELDS)]))
         return F.struct(text.alias("text"), scores.alias("scores"), name_score(text).alias("name_score"))
 
-    # all of it is one expression: a filter that the optimizer moves below can't repeat the normal form for each score
-    held = held.withColumn("_scored", once(replaced(F.col("_text"), NORMAL_FORM), every)).drop("_text", "_fuzzy")
+    held = where_once(held, "_scored", once(replaced(F.col("_text"), NORMAL_FORM), every), lambda x: x.text != "").drop("_text", "_fuzzy")
     out = held.withColumns({"text": F.col("_scored.text"), "scores": F.col("_scored.scores"), "name_score": F.col("_scored.name_score")})
-    return out.drop("_scored").where("text != ''")
+    return out.drop("_scored")
 
 
 def direct_candidates(detections: DataFrame) -> DataFrame:
@@ -179,14 +178,17 @@ def nearby(detections: DataFrame, longer_side: Column) -> DataFrame:
     return met.where("distance <= r").select("image_id", "det_idx", "other_idx", "distance")
 
 
-def value_candidates(detections: DataFrame, longer_side: float) -> DataFrame:
+def value_candidates(detections: DataFrame, longer_side: float, places: DataFrame | None = None) -> DataFrame:
     """image_id, det_idx, text, field, score, format_score, relationship_score: detections that may be a field's value, from scored detections with boxes.
 
     A neighbour speaks for a field by being near, and more if it reads like the field's heading; the best neighbour counts. Pairs are found once for all fields.
+    places: the detections (image_id, det_idx, box) before they were scored, so that pairs are found without scoring; more rows than in `detections` don't matter.
     """
-    direct = F.transform("scores", lambda s: F.greatest(s.keyword, s.pattern))
+    # Both joins read the same columns of one shuffle, so scores are evaluated once.
+    detections = detections.select("image_id", "det_idx", "text", "scores", *([] if places is not None else ["box"])).repartition("image_id", "det_idx")
+    direct = F.when(F.col("text").isNotNull(), F.transform("scores", lambda s: F.greatest(s.keyword, s.pattern)))
     heading = detections.select("image_id", F.col("det_idx").alias("other_idx"), direct.alias("heading"))
-    near = nearby(detections, F.lit(float(longer_side))).join(heading, ["image_id", "other_idx"])
+    near = nearby(detections if places is None else places, F.lit(float(longer_side))).join(heading, ["image_id", "other_idx"])
     share = 0.60 * (1 - F.col("distance") / (longer_side * geometry.RELATED))
     best = near.groupBy("image_id", "det_idx").agg(*[F.max(share + 0.40 * F.get("heading", F.lit(i))).alias(f"r{i}") for i in range(len(FIELDS))])
     held = detections.select("image_id", "det_idx", "text", "scores").join(best, ["image_id", "det_idx"], "left")
@@ -199,12 +201,12 @@ def value_candidates(detections: DataFrame, longer_side: float) -> DataFrame:
     )
 
 
-def field_map(scored_detections: DataFrame, longer_side: float) -> DataFrame:
+def field_map(scored_detections: DataFrame, longer_side: float, places: DataFrame | None = None) -> DataFrame:
     """image_id, field, rank, kind, det_idx, text, score: all candidates of each field, best first; of equals headings, then values, then names, each in the order of detections."""
     direct = direct_candidates(scored_detections).select("image_id", "det_idx", "text", F.explode_outer("candidates").alias("c")).where("c is not null")
     parts = [
         direct.select("image_id", "det_idx", "text", F.col("c.field").alias("field"), F.col("c.score").alias("score"), F.lit("heading_or_direct").alias("kind"), F.lit(0).alias("k")),
-        value_candidates(scored_detections, longer_side).select("image_id", "det_idx", "text", "field", "score", F.lit("value").alias("kind"), F.lit(1).alias("k")),
+        value_candidates(scored_detections, longer_side, places).select("image_id", "det_idx", "text", "field", "score", F.lit("value").alias("kind"), F.lit(1).alias("k")),
         scored_detections.select("image_id", "det_idx", "text", F.lit("product_name").alias("field"), F.col("name_score").alias("score"), F.lit("product_name").alias("kind"), F.lit(2).alias("k")).where("score > 0"),
     ]
     order = Window.partitionBy("image_id", "field").orderBy(F.desc("score"), "k", "det_idx")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import dialect, geometry, text, values
@@ -274,12 +274,12 @@ def nearby_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(field_scores.values_sql(_D, source.IMAGE_HEIGHT))
 def value_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_scores.value_candidates(_scored(spark, sf_dir), LONGER_SIDE)
+    return field_scores.value_candidates(_scored(spark, sf_dir), LONGER_SIDE, _boxed(spark, sf_dir))
 
 
 @query(field_scores.map_sql(_D, source.IMAGE_HEIGHT))
 def field_map_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_scores.field_map(_scored(spark, sf_dir), LONGER_SIDE)
+    return field_scores.field_map(_scored(spark, sf_dir), LONGER_SIDE, _boxed(spark, sf_dir))
 
 
 @query(f"SELECT image_id, det_idx, name_score FROM ({field_scores.scored_sql(_D)})")
@@ -289,7 +289,7 @@ def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def field_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_scores.field_map(field_scores.scored(_boxed(spark, sf_dir)), LONGER_SIDE)
+    return field_scores.field_map(field_scores.scored(_boxed(spark, sf_dir)), LONGER_SIDE, _boxed(spark, sf_dir))
 
 
 # Boxes
@@ -436,9 +436,9 @@ FROM (SELECT *, greatest(0, least(1, round({_TOTAL}, 8))) AS t FROM (
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = value_candidates(spark, sf_dir)
-    others = found.groupBy("image_id", "det_idx").agg(F.collect_list("score").alias("alternatives"))  # one for each field at most
+    found = found.withColumn("alternatives", F.collect_list("score").over(Window.partitionBy("image_id", "det_idx")))  # one for each field at most
     sure = source.detections(spark, sf_dir).select("image_id", "det_idx", F.col("confidence").alias("confidence_ocr"))
-    out = confidence.ranked(found.join(others, ["image_id", "det_idx"]).join(sure, ["image_id", "det_idx"]), "image_id", "field", position="det_idx")
+    out = confidence.ranked(found.join(sure, ["image_id", "det_idx"]), "image_id", "field", position="det_idx")
     return out.select(
         "image_id", "det_idx", "field", F.col("confidence.score").alias("confidence_score"), "confidence.percentage", "confidence.level", F.col("confidence.components.ambiguity_penalty").alias("penalty"), "rank"
     )
@@ -517,7 +517,7 @@ def checked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label_id", "overall_status", "total_checks", "passed", "failed", "review", "not_applicable", *extraction.FIELDS)
 
 
-@query(f"""SELECT row_number() OVER (ORDER BY e.label_id)::INTEGER AS id, e.product_name, e.mrp, e.net_quantity, e.manufacturer, e.address, s.overall_status, '2026-01-01T00:00:00' AS scanned_at
+@query(f"""SELECT row_number() OVER (ORDER BY e.label_id)::BIGINT AS id, e.product_name, e.mrp, e.net_quantity, e.manufacturer, e.address, s.overall_status, '2026-01-01T00:00:00' AS scanned_at
 FROM ({compliance.status_sql(_WHOLE, 'label_id')}) s JOIN ({_EXTRACTED}) e ON e.label_id = s.label_id ORDER BY id DESC""")
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbered(checked_labels(spark, sf_dir), "label_id")

@@ -9,7 +9,9 @@ from pyspark.sql.utils import AnalysisException
 from tagloom.functions.text import shown
 
 COLUMNS = ["product_name", "mrp", "net_quantity", "manufacturer", "address", "overall_status", "scanned_at"]
-SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
+SCHEMA = "id long, " + ", ".join(f"{c} string" for c in COLUMNS)
+#: Ranges by which rows are numbered.
+RANGES = 64
 
 
 def create_history(spark: SparkSession, path: str) -> None:
@@ -20,30 +22,53 @@ def create_history(spark: SparkSession, path: str) -> None:
 
 def _there(spark: SparkSession, path: str) -> bool:
     try:
-        spark.read.parquet(path)
-    except AnalysisException:
+        _stored(spark, path).schema
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
     return True
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+
+
 def history_rows(results: DataFrame, scanned_at: str | None = None) -> DataFrame:
     """What is kept of results: all columns as text; scanned_at is the given time or now, as ISO text."""
     now = F.lit(scanned_at) if scanned_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return results.select(*[F.col(c).cast("string").alias(c) for c in COLUMNS[:-1]], now.alias("scanned_at"))
 
 
-def save_scans(results: DataFrame, path: str, scanned_at: str | None = None) -> None:
-    history_rows(results, scanned_at).write.mode("append").parquet(path)
+def save_scans(results: DataFrame, path: str, scanned_at: str | None = None, batch: str | None = None) -> None:
+    """Adds results to the history. Ids rise from what is there, with gaps. batch: a name under which these rows are kept; saving it again replaces them, so a batch can be retried."""
+    spark = results.sparkSession
+    last = (_stored(spark, path).agg(F.max("id")).first()[0] or 0) if _there(spark, path) else 0
+    rows = history_rows(results, scanned_at).select((F.monotonically_increasing_id() + last + 1).alias("id"), *COLUMNS)
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/{batch}")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Latest first."""
-    return spark.read.schema(SCHEMA).parquet(path).orderBy(F.desc("scanned_at"))
-
-
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with id from 1 in that order. The window has no key: for reports, not for large tables."""
-    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)))
+    return _stored(spark, path).orderBy(F.desc("id"))
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with id from 1 in the order of a column of numbers or times without repeats; nulls come first.
+
+    Rows are dealt to ranges of that column and numbered in each; a range begins where the counts of those before it end. Only one row for each range goes through a single task.
+    """
+    shares = [i / RANGES for i in range(1, RANGES)]
+    bounds = rows.agg(F.percentile_approx(order, shares, 1000).alias("b")).first().b or []
+    place = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    dealt = rows.withColumn("_range", F.coalesce(place, F.lit(-1)))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
+    within = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_first())))
+    return within.join(before, "_range").withColumn("id", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
 def export_json(results: DataFrame) -> DataFrame:

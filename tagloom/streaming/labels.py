@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -28,7 +30,10 @@ def statuses_by_window(checked: DataFrame, width: str = "10 minutes", delay: str
 
 
 def run_into_history(checked: DataFrame, history: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is appended once; what is there already is processed, then the query ends."""
-    return (
-        checked.writeStream.foreachBatch(lambda batch, _: save_scans(batch, history)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    """Each micro-batch is kept under its own name, so one that is retried after a failure replaces itself; what is there already is processed, then the query ends."""
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
+
+    def save(batch: DataFrame, number: int) -> None:
+        save_scans(batch, history, batch=f"stream-{stream}-{number}")
+
+    return checked.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -15,7 +15,10 @@ def test_history_and_exports(spark, tmp_path):
     history.save_scans(results, path, "2026-01-02T00:00:00")
     history.create_history(spark, path)
     found = history.read_history(spark, path).collect()
-    assert [r.scanned_at for r in found] == ["2026-01-02T00:00:00", "2026-01-01T00:00:00"] and found[0].mrp == "₹5"
+    assert [r.scanned_at for r in found] == ["2026-01-02T00:00:00", "2026-01-01T00:00:00"] and found[0].mrp == "₹5" and found[0].id > found[1].id > 0
+    history.save_scans(results, path, "2026-01-03T00:00:00", batch="b-7")
+    history.save_scans(results, path, "2026-01-03T00:00:00", batch="b-7")  # a retry
+    assert history.read_history(spark, path).count() == 3 and history.read_history(spark, path).first().scanned_at == "2026-01-03T00:00:00"
     document = json.loads(history.export_json(results).first().value)
     assert document["product_data"]["mrp"] == "₹5" and document["product_data"]["address"] is None and len(document["compliance"]["checks"]) == 21
     history.export_text(results, f"{tmp_path}/text")
@@ -36,3 +39,10 @@ def test_stream_into_history(spark, tmp_path):
     assert history.read_history(spark, f"{tmp_path}/history").count() == 2  # nothing is processed twice
     table = checked_labels(spark.createDataFrame(rows, streaming.SCHEMA))
     assert [(r.start, r.n) for r in streaming.statuses_by_window(table).orderBy("start").collect()] == [(day, 2), (day + datetime.timedelta(minutes=20), 1)]
+
+
+def test_numbers_without_a_single_task(spark):
+    rows = spark.createDataFrame([(i * 37 % 1009, "x") for i in range(1000)] + [(None, "x")], "k long, t string").repartition(7)
+    found = history.numbered(rows, "k").collect()
+    assert [r.id for r in sorted(found, key=lambda r: (r.k is not None, r.k or 0))] == list(range(1, 1002))
+    assert history.numbered(rows.where("false"), "k").count() == 0

@@ -3,7 +3,8 @@
 Vectors are sorted by length, longest first, and cut into buckets. Against a bucket, a query's score to beat becomes a cosine to
 beat: score / (query's length * bucket's greatest length). Over 1, the bucket is left out. If it is high, only vectors are kept
 whose largest query coordinates lie where a vector of that cosine can have them; if it is low, only the vectors that are
-long enough. What is left is multiplied out in integers. The score to beat comes from a first round over one bucket in sixteen.
+long enough. What is left is multiplied out in integers. The score to beat comes from a first round over the longest vectors (one bucket for each number of dimensions) and one
+bucket in sixteen of the others.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BUCKET, QUERIES = 4096, 512
 COORDINATES, STEEP = 4, 0.35
 FIRST_ROUND = 16
 SLACK = 1e-9
+#: 64-bit integers.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 _BLOCKS = "dims int, number long, ids binary, vectors binary, longest double"
 
@@ -111,7 +114,7 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, beat: np.ndarray, ids: np.
             cut = np.partition(scores, len(scores) - k)[len(scores) - k]
             names, scores = names[scores >= cut], scores[scores >= cut]
         order = np.lexsort((names, -scores))[:k]
-        out += [(q, int(v), int(s)) for v, s in zip(names[order], scores[order], strict=True) if s >= least]
+        out += [(q, int(v), max(LEAST, min(MOST, int(s)))) for v, s in zip(names[order], scores[order], strict=True) if s >= least]
     return out
 
 
@@ -138,8 +141,13 @@ def _scored(queries: DataFrame, buckets: DataFrame, k: int, slots: int) -> DataF
     reach = F.col("lowest").isNull() | (F.col("lowest") <= F.col("q_longest") * F.col("longest") * (1 + SLACK))
     met = queries.join(buckets, (F.col("q_dims") == F.col("dims")) & (F.col("q_slot") == F.col("slot")) & reach)
     columns = ["dims", "query_ids", "queries", "beat", "ids", "vectors"]
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return in_arrow(met.select(*columns).repartition(parts), _pairs(k), "query_id long, vec_id long, score long")
+    return in_arrow(met.select(*columns), _pairs(k), "query_id long, vec_id long, score long")
+
+
+def first_buckets(buckets: DataFrame) -> DataFrame:
+    """The buckets of the first round: there is always one for each number of dimensions."""
+    longest = buckets.groupBy("dims").agg(F.max_by("number", F.struct("longest", "number")).alias("number")).withColumn("chosen", F.lit(True))
+    return buckets.join(longest, ["dims", "number"], "left").where((F.pmod("number", F.lit(FIRST_ROUND)) == 0) | F.col("chosen")).drop("chosen")
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -172,7 +180,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     """query_id, rank (from 1), vec_id, score: for each vector with is_query (of vec_id) the k highest inner products of the integer vectors, ties to the smaller vec_id.
 
     A query's own vec_id takes no part; vectors of another number of dimensions don't either. Vectors that are null, empty or hold null or non-finite components, or lack an id, are left out.
-    Each vec_id should be there once: further rows with a query's id are queries too, and their candidates are merged. Fewer than k candidates: all of them.
+    Each vec_id should be there once: further rows with a query's id are queries too, and their candidates are merged. Fewer than k candidates: all of them. Components and scores beyond 64-bit integers count as the least or greatest one. Other columns are ignored; an empty table gives an empty one.
     """
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = checkpointed(integer_vectors(vectors, scale))
@@ -191,8 +199,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
 
     blocks = checkpointed(in_arrow(blocks, members, "q_dims int, q_number long, query_ids binary, queries binary, q_longest double, beat binary, lowest double, members array<long>"))
     slots = max(1, buckets.count())
-    seeds = buckets.where(F.pmod("number", F.lit(FIRST_ROUND)) == 0)
-    first = _ranked(_scored(blocks, seeds, k, max(1, slots // FIRST_ROUND)), k)
+    first = _ranked(_scored(blocks, first_buckets(buckets), k, max(1, slots // FIRST_ROUND)), k)
     again = checkpointed(_with_beat(blocks, first, k))
     return _ranked(_scored(again, buckets, k, slots), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

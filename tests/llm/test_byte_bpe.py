@@ -55,3 +55,22 @@ def test_odd_rows_round_trip(spark, reference):
 def test_empty_table(spark):
     assert byte_bpe.digests(frame(spark, []), PATH).count() == 0
     assert byte_bpe.decode(byte_bpe.encode(frame(spark, []), PATH), PATH).count() == 0
+
+
+def test_pieces_that_share_a_hash_stay_apart(reference, monkeypatch):
+    from tests.llm.test_repeats import turned
+
+    texts = [*turned(2048), "some words and some more"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+
+    def check():
+        own = byte_bpe.Codec(PATH)
+        ids, _, before = own.encode(data, offsets)
+        decoded, _ = own.decode(ids, before)
+        assert decoded.tobytes() == data.tobytes()
+        assert [ids[a:b].tolist() for a, b in zip(before, before[1:])] == [reference.encode_ordinary(t) for t in texts]
+
+    check()
+    monkeypatch.setattr(byte_bpe.RangeHash, "of", lambda self, start, end: np.zeros(len(start), np.uint64))
+    check()

@@ -87,3 +87,14 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows, _ = tables(tmp_path, spark)
+    names = ["kept_key", "kept_mark", "mixed_key", "mixed_copies", "mixed_copy", "changed_key", "changed_mark", "changed_text", "near_duplicates", "mixing", "substring_dedup", "place", "change", "key", "copies"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", *[f"concat('{n} ', doc_id) as {n}" for n in names])
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert len(found) > 200 and all(r[n] == f"{n} {r.doc_id}" for r in found for n in names)

@@ -170,3 +170,36 @@ def test_subtree_nodes_are_equal_windows():
         for first, last, deep in tree.maximal_repeats(2):
             runs = {tuple(tokens[i : i + deep]) for i in tree.leaves[first : last + 1]}
             assert len(runs) == 1
+
+
+def turned(n):
+    """A sequence whose polynomial hashes modulo 2**64 equal those of its complement."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits[:n]), "".join("ba"[b] for b in bits[:n])
+
+
+def test_words_that_collide_under_polynomials_are_different(spark):
+    one, two = turned(1024)
+    same = " ".join(f"t{i}" for i in range(49))
+    found = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame(spark, [(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"{same} {one}")])).collect()}
+    assert found == {1: 0, 2: 0, 3: 50}
+    docs = [(1, one + one), (2, two + two), (3, two + two)]
+    expected = by_bytes(docs, 100)
+    for r in suffix_array_dedup.suffix_array_dedup(frame(spark, docs)).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == expected[r.doc_id]
+
+
+def test_long_texts_are_cut_without_losing_windows(monkeypatch):
+    from tagloom.llm import repeats
+    from tagloom.llm.common import BYTE_VALUES
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    spec = Windows(width=24, gram=8, words=False, within=True)
+    whole = repeats.segments(BYTE_VALUES[data], np.array([0, 5000]), spec)
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    cut = repeats.segments(BYTE_VALUES[data], np.array([0, 5000]), spec)
+    anchors = [np.repeat(x["prefix"], x["run"] & ((1 << spec.count_bits) - 1)) for x in (whole, cut)]
+    assert len(anchors[0]) == 5000 - 23 and (anchors[0] == anchors[1]).all()  # each window has the anchor that it has in the whole text

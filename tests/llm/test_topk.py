@@ -43,3 +43,32 @@ def test_allowed_range_holds_all_close_vectors():
         cosine = sum(x * y for x, y in zip(a, b, strict=True))
         low, high = exact_topk.allowed(a[0], cosine)
         assert low <= b[0] <= high
+
+
+def test_first_round_is_never_empty_and_spares_products(spark):
+    """At the default size of buckets: the longest vectors give a score to beat, by which most of the other products are spared."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    directions = rng.normal(size=(9000, 8))
+    lengths = np.where(np.arange(9000) < 4096, 10.0, 0.5)[:, None]
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(directions)]
+    rows = [(i, [x * float(lengths[i, 0]) for x in v]) for i, v in rows]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = exact_topk.integer_vectors(vectors)
+    order = ("dims", F.desc("norm"), "vec_id")
+    buckets = own.repartitionByRange(1, *order).sortWithinPartitions(*order).mapInArrow(exact_topk._packed(exact_topk.BUCKET), exact_topk._BLOCKS)
+    first = exact_topk.first_buckets(buckets).collect()
+    assert buckets.count() == 3 and max(r.longest for r in first) == max(r.longest for r in buckets.collect())
+    whole = {r.vec_id: np.array(r.v) for r in own.collect()}
+    ids = np.array(sorted(whole))
+    matrix = np.stack([whole[i] for i in ids])
+    queries = ids[ids % 50 == 0][:20]
+    fifth = np.array([sorted((int(whole[q] @ whole[c]) for c in ids[:4096] if c != q), reverse=True)[4] for q in queries], float)
+    short = ids >= 4096
+    found = exact_topk._best(queries, np.stack([whole[q] for q in queries]), fifth, ids[short], matrix[short], 5)
+    assert not found  # against the long ones no short vector is multiplied out or kept
+    got = exact_topk.top_k(vectors, F.col("vec_id") % 50 == 0).where("query_id < 1000").collect()
+    for q in queries:
+        best = sorted((-int(whole[q] @ whole[c]), int(c)) for c in ids if c != q)[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(i + 1, c, -v) for i, (v, c) in enumerate(best)]

@@ -125,3 +125,35 @@ def regions(image_width: Column, image_height: Column) -> Column:
 def evidence_label(text: Column, confidence: Column) -> Column:
     """What is written next to a box: the text's beginning and the confidence."""
     return F.format_string("%s (%.0f%%)", F.substring(F.trim(F.coalesce(text, F.lit(""))), 1, 28), F.coalesce(confidence, F.lit(0.0)) * 100)
+
+
+# Bounds of an image's width or sides, in pixels.
+WIDEST, LONGEST_READ, SHORTEST_READ, LONGEST_SMOOTHED = 2200, 2800, 1100, 2200
+
+
+def _size(width: Column, height: Column) -> Column:
+    return F.struct(width.cast("long").alias("width"), height.cast("long").alias("height"))
+
+
+def scan_size(width: Column, height: Column) -> Column:
+    """(width, height) of an image for the scanner: not wider than `WIDEST`."""
+    scale = F.lit(float(WIDEST)) / width
+    return F.when(width <= WIDEST, _size(width, height)).otherwise(_size(F.floor(width * scale), F.floor(height * scale)))
+
+
+def smoothed_size(width: Column, height: Column) -> Column:
+    """(width, height) of an image for smoothing: no side over `LONGEST_SMOOTHED`, none below 1."""
+    scale = F.lit(float(LONGEST_SMOOTHED)) / F.greatest(width, height)
+    return F.when(F.greatest(width, height) <= LONGEST_SMOOTHED, _size(width, height)).otherwise(_size(F.greatest(F.lit(1), F.floor(width * scale)), F.greatest(F.lit(1), F.floor(height * scale))))
+
+
+def reading_size(width: Column, height: Column) -> Column:
+    """(width, height) of an image for recognition: large ones shrink to `LONGEST_READ`, small ones grow to `SHORTEST_READ` as far as that bound lets them; null without a side."""
+    at_least_1 = lambda x: F.greatest(F.lit(1), x)
+    down, up = F.lit(float(LONGEST_READ)) / F.greatest(width, height), F.lit(float(SHORTEST_READ)) / F.least(width, height)
+    shrunk = _size(at_least_1(F.floor(width * down)), at_least_1(F.floor(height * down)))
+    wide, high = F.floor(width * up), F.floor(height * up)
+    limit = F.least(F.lit(1.0), F.lit(float(LONGEST_READ)) / F.greatest(wide, high))
+    grown = _size(at_least_1(F.floor(wide * limit)), at_least_1(F.floor(high * limit)))
+    usual = F.when(F.greatest(width, height) > LONGEST_READ, shrunk).when(F.least(width, height) < SHORTEST_READ, grown).otherwise(_size(width, height))
+    return F.when((width > 0) & (height > 0), usual)

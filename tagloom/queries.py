@@ -505,6 +505,49 @@ def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", *[c for n in ("scanner", "reader", "smooth") for c in (n, f"{n}_status")])
 
 
+_SIZES = "SELECT p_partkey, CAST(p_partkey * 37 % 4001 + 1 AS BIGINT) AS w, CAST(p_partkey * 61 % 3001 + 1 AS BIGINT) AS h FROM part"
+_W, _T = float(geometry.WIDEST), float(geometry.LONGEST_READ)
+
+
+@query(f"""
+SELECT p_partkey, CASE WHEN w <= {_W} THEN w ELSE CAST(floor(w * ({_W}::DOUBLE / w)) AS BIGINT) END AS scan_width, CASE WHEN w <= {_W} THEN h ELSE CAST(floor(h * ({_W}::DOUBLE / w)) AS BIGINT) END AS scan_height,
+  CASE WHEN side <= {_W} THEN w ELSE CAST(greatest(1, floor(w * ({_W}::DOUBLE / side))) AS BIGINT) END AS smoothed_width, CASE WHEN side <= {_W} THEN h ELSE CAST(greatest(1, floor(h * ({_W}::DOUBLE / side))) AS BIGINT) END AS smoothed_height,
+  CASE WHEN side > {_T} THEN CAST(greatest(1, floor(w * ({_T}::DOUBLE / side))) AS BIGINT) WHEN least(w, h) < 1100 THEN CAST(greatest(1, floor(gw * part_of)) AS BIGINT) ELSE w END AS reading_width,
+  CASE WHEN side > {_T} THEN CAST(greatest(1, floor(h * ({_T}::DOUBLE / side))) AS BIGINT) WHEN least(w, h) < 1100 THEN CAST(greatest(1, floor(gh * part_of)) AS BIGINT) ELSE h END AS reading_height
+FROM (SELECT *, least(1::DOUBLE, {_T}::DOUBLE / greatest(gw, gh)) AS part_of FROM (
+  SELECT *, greatest(w, h) AS side, floor(w * (1100::DOUBLE / least(w, h))) AS gw, floor(h * (1100::DOUBLE / least(w, h))) AS gh FROM ({_SIZES})))""")
+def size_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = source.table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey * 37 % 4001 + 1 AS w", "p_partkey * 61 % 3001 + 1 AS h")
+    found = {"scan": geometry.scan_size, "smoothed": geometry.smoothed_size, "reading": geometry.reading_size}
+    return sizes.select("p_partkey", *[f(F.col("w"), F.col("h"))[side].alias(f"{name}_{side}") for name, f in found.items() for side in ("width", "height")])
+
+
+_PARTS = """SELECT p_partkey, CAST(p_size AS VARCHAR) AS number, ['kg', 'Kgs', 'g', 'GM', 'gms', 'mg', 'ml', 'l', 'Ltr', 'litre', 'LITER', 'pcs'][p_partkey % 12 + 1] AS unit,
+  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE concat(' ', p_name, ' ') END AS value,
+  ['PASS', 'compliant', 'FAIL', 'Non-Compliant', 'REVIEW', ' needs review ', 'NOT_APPLICABLE', 'n/a', 'else', NULL][p_partkey % 10 + 1] AS status FROM part"""
+
+
+def _part_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda *x: F.array(*map(F.lit, x))
+    key = F.col("p_partkey")
+    units = listed("kg", "Kgs", "g", "GM", "gms", "mg", "ml", "l", "Ltr", "litre", "LITER", "pcs")
+    statuses = listed("PASS", "compliant", "FAIL", "Non-Compliant", "REVIEW", " needs review ", "NOT_APPLICABLE", "n/a", "else", None)
+    value = F.when(key % 4 == 0, None).when(key % 4 == 1, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit(" ")))
+    return source.table(spark, sf_dir, "part").select(key, F.col("p_size").cast("string").alias("number"), F.get(units, (key % 12).cast("int")).alias("unit"), value.alias("value"), F.get(statuses, (key % 10).cast("int")).alias("status"))
+
+
+@query(f"""SELECT p_partkey, concat(number, ' ', CASE WHEN lower(unit) IN ('kg', 'kgs') THEN 'KG' WHEN lower(unit) IN ('g', 'gm', 'gms') THEN 'G' WHEN lower(unit) = 'mg' THEN 'MG' WHEN lower(unit) = 'ml' THEN 'ML'
+  WHEN lower(unit) IN ('l', 'ltr', 'litre', 'liter') THEN 'L' ELSE upper(unit) END) AS quantity FROM ({_PARTS})""")
+def named_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_values(spark, sf_dir).select("p_partkey", values.named_unit(F.col("number"), F.col("unit")).alias("quantity"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN trim(value) <> '' THEN trim(value) ELSE 'Not found' END AS shown, CASE WHEN s IN ('PASS', 'COMPLIANT') THEN '✅' WHEN s IN ('FAIL', 'NON-COMPLIANT') THEN '❌'
+  WHEN s IN ('REVIEW', 'NEEDS REVIEW') THEN '⚠️' WHEN s IN ('NOT_APPLICABLE', 'N/A') THEN '⚪' ELSE 'ℹ️' END AS icon FROM (SELECT *, upper(trim(coalesce(status, ''))) AS s FROM ({_PARTS}))""")
+def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_values(spark, sf_dir).select("p_partkey", text.shown(F.col("value")).alias("shown"), text.status_icon(F.col("status")).alias("icon"))
+
+
 # Whole plans
 
 

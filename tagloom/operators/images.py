@@ -77,6 +77,7 @@ def capture_quality(s: DataFrame) -> DataFrame:
     dark, bright = c["brightness"] < DARK, c["brightness"] > BRIGHT
     blurred, flat, glare = c["sharpness"] < BLURRED, c["contrast"] < FLAT, c["glare"] > GLARE
     score = _penalised((dark, 20.0), (bright, 15.0), (blurred, 30.0), (flat, 15.0), (glare, 15.0), (small, 20.0))
+    # The messages, here and below.
     warnings = _texts(
         (small, "Image resolution is low. Move closer to the package."), (dark, "Image is too dark."), (bright, "Image is too bright."), (blurred, "Image appears blurry."), (flat, "Image has low contrast."),
         (glare, "Possible strong glare detected."), (c["dark"] > DARK_SHARE, "Large dark regions detected."),

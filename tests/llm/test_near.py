@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from tagloom.llm import near_duplicates, simhash_dedup
@@ -151,3 +152,14 @@ def test_clashing_and_missing_ids_keep_one_copy_of_each_text(spark):
     rows = [(3, x), (5, x), (5, y), (7, y + " more"), (None, z), (None, z), (8, z), (9, None), (None, y)]
     kept = near_duplicates.one_of_each(spark, frame(spark, rows), "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(3, x), (0, z), (9, ""), (0, y)])
+
+
+def test_parity_sketches_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(5)
+    for n, m, shared in ((0, 0, 0), (0, 3, 0), (40, 44, 38), (120, 900, 100), (130, 126, 126), (9000, 8800, 8000), (70_000, 70_100, 69_000)):
+        values = np.unique(rng.integers(0, 2**63, n + m, dtype=np.int64).view(np.uint64))
+        x, y = values[:n], values[n - shared : n - shared + m]
+        a, b = near_duplicates.parity_sketch(x), near_duplicates.parity_sketch(y)
+        apart = len(np.setxor1d(x, y))
+        assert near_duplicates.differing(a, b) == near_duplicates.differing(b, a) <= apart
+        assert near_duplicates.differing(a, a) == 0

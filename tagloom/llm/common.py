@@ -68,6 +68,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A table of a few numbers a row is sent to every task if it has so many rows at most (some tens of megabytes).
+SENT_ROWS = 500_000
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """rows (checkpointed, numbers only) for a join with texts: if they are few by count they go to every task and the texts stay where they are, else both are shuffled."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """A column name that docs doesn't have, in any case."""
     taken = {c.lower() for c in docs.columns}

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from tagloom.llm import near_duplicates, simhash_dedup
+from tagloom.llm import common, near_duplicates, simhash_dedup
 from tagloom.llm.components import components
 from tests.llm.common import ODD, frame
 
@@ -154,6 +154,12 @@ def test_clashing_and_missing_ids_keep_one_copy_of_each_text(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(3, x), (0, z), (9, ""), (0, y)])
 
 
+def test_tables_that_are_too_large_to_be_sent_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(common, "SENT_ROWS", 0)
+    test_near_duplicates_of_planted_copies(spark)
+    test_clashing_and_missing_ids_keep_one_copy_of_each_text(spark)
+
+
 def test_parity_sketches_never_differ_more_than_their_sets():
     rng = np.random.default_rng(5)
     for n, m, shared in ((0, 0, 0), (0, 3, 0), (40, 44, 38), (120, 900, 100), (130, 126, 126), (9000, 8800, 8000), (70_000, 70_100, 69_000)):

@@ -10,6 +10,7 @@ from tagloom.llm import (
     byte_bpe,
     exact_topk,
     language_id,
+    merkle_manifest,
     mixing,
     ogg,
     quotation_linking,
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ogg": ogg.query,
     "op9_suffix_array_dedup": suffix_array_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
+    "op13_merkle_manifest": merkle_manifest.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": exact_topk.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op6_quotation_linking": quotation_linking.ORACLE,
+    "op13_merkle_manifest": merkle_manifest.ORACLE,
 }

@@ -13,6 +13,7 @@ from tagloom.llm import (
     merkle_manifest,
     mixing,
     ogg,
+    prefix_trie,
     quotation_linking,
     simhash_dedup,
     substring_dedup,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ogg": ogg.query,
     "op9_suffix_array_dedup": suffix_array_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
+    "op11_prefix_trie": prefix_trie.query,
     "op13_merkle_manifest": merkle_manifest.query,
 }
 
@@ -38,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": exact_topk.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op6_quotation_linking": quotation_linking.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_merkle_manifest": merkle_manifest.ORACLE,
 }

@@ -18,6 +18,7 @@ from tagloom.llm import (
     simhash_dedup,
     substring_dedup,
     suffix_array_dedup,
+    token_counts,
     toxicity,
 )
 
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": suffix_array_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
     "op11_prefix_trie": prefix_trie.query,
+    "op12_token_counts": token_counts.query,
     "op13_merkle_manifest": merkle_manifest.query,
 }
 

@@ -26,7 +26,7 @@ def reports(checked: DataFrame) -> DataFrame:
 
 def text_of_images(detections: DataFrame, longer_side: float) -> DataFrame:
     """image_id, text from detections: repaired, merged, in reading order, each line once."""
-    return merging.final_text(merging.reading_order(merging.merge_readings(merging.kept_detections(detections), longer_side)))
+    return merging.final_text(merging.merged_in_order(merging.kept_detections(detections), longer_side))
 
 
 def checked_packages(views: DataFrame, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Text recognition itself is a provider's work; what it gives back are detections."""
+"""Text recognition itself is a provider's work; what it gives back are detections, in the coordinates of the pass that read them."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 
-DETECTIONS = "image_id long, det_idx int, text string, confidence double, x double, y double, w double, h double, source string"
+from tagloom.operators import merging, passes
+
+DETECTIONS = "image_id long, source string, det_idx int, text string, confidence double, box array<struct<x:double,y:double>>"
 
 
 class Recogniser(Protocol):
-    def detections(self, images: DataFrame) -> DataFrame:
-        """Rows of DETECTIONS for images (package_id, view, image)."""
+    def detections(self, made: DataFrame) -> DataFrame:
+        """Rows of DETECTIONS for passes (see operators.passes.passes)."""
 
 
 class Given:
@@ -20,5 +22,11 @@ class Given:
     def __init__(self, detections: DataFrame):
         self.held = detections
 
-    def detections(self, images: DataFrame) -> DataFrame:
-        return self.held
+    def detections(self, made: DataFrame) -> DataFrame:
+        return self.held.join(made.select("image_id", "source"), ["image_id", "source"], "left_semi")
+
+
+def texts(images: DataFrame, recogniser: Recogniser) -> tuple[DataFrame, DataFrame]:
+    """For images (image_id, width, height, corners): all that any pass read, once and in order (see operators.passes.read), and each image's text (image_id, text)."""
+    found = passes.read(recogniser.detections(passes.passes(images)), images)
+    return found, merging.final_text(found)

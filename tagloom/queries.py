@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import dialect, geometry, text, values
-from tagloom.operators import compliance, confidence, extraction, field_scores, images, line_classification, merging
+from tagloom.operators import compliance, confidence, extraction, field_scores, images, line_classification, merging, passes
 from tagloom.plans import packages
 from tagloom.sources import labels as source
 from tagloom.sources.history import COLUMNS, numbered
@@ -361,6 +361,101 @@ def box_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Recognition passes
+
+
+#: The package's corners are a little beyond its detections, askew.
+_CORNERS = {"tl": ("ax - 8", "ay - 6"), "tr": ("bx + 12", "ay - 2"), "br": ("bx + 9", "b_y + 14"), "bl": ("ax - 3", "b_y + 10")}
+_HULLS = f"SELECT image_id, min(x) AS ax, min(y) AS ay, max(x + w) AS bx, max(y + h) AS b_y FROM ({_D}) GROUP BY image_id"
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hulls = source.detections(spark, sf_dir).groupBy("image_id").agg(F.min("x").alias("ax"), F.min("y").alias("ay"), F.max(F.expr("x + w")).alias("bx"), F.max(F.expr("y + h")).alias("b_y"))
+    corners = F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in _CORNERS.values()])
+    return hulls.select("image_id", F.lit(source.IMAGE_WIDTH).alias("width"), F.lit(source.IMAGE_HEIGHT).alias("height"), corners.alias("corners"))
+
+
+def _passes_sql() -> str:
+    """Every pass with its area, and for straightened images the solution of the equations for the unit square: (u, v) = (a11 x + a12 y + a13, a21 x + a22 y + a23) / (a31 x + a32 y + a33)."""
+    w, h = source.IMAGE_WIDTH, source.IMAGE_HEIGHT
+    sized = f"SELECT {w}::BIGINT AS w, {h}::BIGINT AS h"
+    area = f"{w}::BIGINT AS width, {h}::BIGINT AS height"
+    points = ", ".join(f"{x} AS {n}x, {y} AS {n}y" for n, (x, y) in _CORNERS.items())
+    length = lambda p, q: f"sqrt(({p}x - {q}x) ** 2 + ({p}y - {q}y) ** 2)"
+    fixed = [(n, "'image'", 0, 1.0) for n in passes.VARIANTS] + [(f"rotation_{a}", "'turned'", a, 1.0) for a in passes.ANGLES]
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS source, {kind} AS coord_space, 0::BIGINT AS x, 0::BIGINT AS y, {area}, {a} AS angle, 1.0::DOUBLE AS scale" for n, kind, a, _ in fixed)
+    both = "(SELECT unnest(['', '_enhanced']) AS suffix)"
+    return f"""
+    hull AS MATERIALIZED (SELECT image_id, {points} FROM ({_HULLS})),
+    solved AS (
+      SELECT *, tlx - trx + brx - blx AS sx, tly - try + bry - bly AS sy, trx - brx AS px, try - bry AS py, blx - brx AS qx, bly - bry AS qy,
+        floor(greatest({length('br', 'bl')}, {length('tr', 'tl')})) AS wide, floor(greatest({length('tr', 'br')}, {length('tl', 'bl')})) AS high FROM hull
+    ), straight AS MATERIALIZED (
+      SELECT *, trx - tlx + g * trx AS a, blx - tlx + k * blx AS b, try - tly + g * try AS d, bly - tly + k * bly AS e FROM (
+        SELECT *, (sx * qy - qx * sy) / (px * qy - qx * py) AS g, (px * sy - sx * py) / (px * qy - qx * py) AS k FROM solved WHERE least(wide, high) >= 200 AND (wide <> {w} OR high <> {h}))
+    ), fixed AS (
+      {rows}
+      UNION ALL SELECT name || suffix, 'crop', x, y, width, height, 0, 1.65 FROM (
+        SELECT 'bottom_region' AS name, 0::BIGINT AS x, trunc(h * 0.55::DOUBLE)::BIGINT AS y, w AS width, h - trunc(h * 0.55::DOUBLE)::BIGINT AS height FROM ({sized})
+        UNION ALL SELECT 'top_region', 0, 0, w, trunc(h * 0.45::DOUBLE)::BIGINT FROM ({sized})
+        UNION ALL SELECT 'left_region', 0, 0, trunc(w * 0.5::DOUBLE)::BIGINT, h FROM ({sized})
+        UNION ALL SELECT 'right_region', trunc(w * 0.5::DOUBLE)::BIGINT, 0, w - trunc(w * 0.5::DOUBLE)::BIGINT, h FROM ({sized})), {both}
+      UNION ALL SELECT concat('tile_', r, '_', c) || suffix, 'crop', x1, y1, x2 - x1, y2 - y1, 0, 1.55 FROM (
+        SELECT *, greatest({_edge('c', 'w // 3', '-')}, 0) AS x1, greatest({_edge('r', 'h // 3', '-')}, 0) AS y1, least({_edge('(c + 1)', 'w // 3', '+')}, w) AS x2, least({_edge('(r + 1)', 'h // 3', '+')}, h) AS y2
+        FROM ({sized}), (SELECT unnest(range(3)) AS r), (SELECT unnest(range(3)) AS c)), {both}
+    ), every AS (
+      SELECT image_id, fixed.* FROM hull, fixed
+      UNION ALL SELECT image_id, name, 'corrected', 0, 0, {area}, 0, 1.0 FROM straight, (SELECT unnest(['perspective_original', 'perspective_clahe', 'perspective_sharpened']) AS name)
+    )"""
+
+
+@query(f"WITH {_passes_sql()} SELECT image_id, source, coord_space, x, y, width, height FROM every")
+def recognition_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passes.passes(_images(spark, sf_dir)).select("image_id", "source", "coord_space", "x", "y", "width", "height")
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections as each pass sees them whose area holds their middle."""
+    made = passes.passes(_images(spark, sf_dir)).withColumnsRenamed({"source": "pass", "x": "px", "y": "py"})
+    met = _boxed(spark, sf_dir).drop("source").join(made, "image_id")
+    x, y = F.expr("x + w / 2"), F.expr("y + h / 2")
+    inside = (x >= F.col("px")) & (x < F.col("px") + F.col("width")) & (y >= F.col("py")) & (y < F.col("py") + F.col("height"))
+    return met.where(inside).select("image_id", F.col("pass").alias("source"), "det_idx", "text", "confidence", passes.to_pass(F.col("box"), F.col("mapping")).alias("box"))
+
+
+def _seen_sql() -> str:
+    out = []
+    w, h = source.IMAGE_WIDTH, source.IMAGE_HEIGHT
+    for n, x, y in (("", "x", "y"), ("2", "x + w", "y + h")):
+        below = f"((d * k - e * g) * ({x}) + (b * g - a * k) * ({y}) + (a * e - b * d))"
+        u = f"((e - tly * k) * ({x}) + (tlx * k - b) * ({y}) + (b * tly - tlx * e)) / {below} * (wide - 1)"
+        v = f"((tly * g - d) * ({x}) + (a - tlx * g) * ({y}) + (tlx * d - a * tly)) / {below} * (high - 1)"
+        turn_x = f"CASE angle WHEN 90 THEN {h} - 1 - ({y}) WHEN 180 THEN {w} - 1 - ({x}) WHEN 270 THEN {y} ELSE {x} END"
+        turn_y = f"CASE angle WHEN 90 THEN {x} WHEN 180 THEN {h} - 1 - ({y}) WHEN 270 THEN {w} - 1 - ({x}) ELSE {y} END"
+        for axis, straight, crop, turned, own, size in (("x", u, f"(({x}) - px) * scale", turn_x, x, w), ("y", v, f"(({y}) - py) * scale", turn_y, y, h)):
+            out.append(f"round(CASE coord_space WHEN 'corrected' THEN {straight} WHEN 'crop' THEN {crop} ELSE {turned} END, 3) AS seen_{axis}{n}")
+            out.append(f"round(CASE coord_space WHEN 'corrected' THEN greatest(0, least({own}, {size} - 1)) ELSE {own} END, 3)::DOUBLE AS back_{axis}{n}")
+    return ", ".join(out)
+
+
+@query(f"""WITH {_passes_sql()}
+SELECT image_id, det_idx, source, coord_space, {_seen_sql()} FROM (
+  SELECT d.image_id, d.det_idx, d.x, d.y, d.w, d.h, e.source, e.coord_space, e.x AS px, e.y AS py, e.width, e.height, e.angle, e.scale, s.* EXCLUDE (image_id)
+  FROM ({_D}) d JOIN every e ON e.image_id = d.image_id LEFT JOIN straight s ON s.image_id = d.image_id)
+WHERE x + w / 2 >= px AND x + w / 2 < px + width AND y + h / 2 >= py AND y + h / 2 < py + height""")
+def pass_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _seen(spark, sf_dir).withColumn("seen", F.col("box"))
+    back = passes.in_image(seen, passes.passes(_images(spark, sf_dir)))
+    at = lambda name, i: [F.round(F.get(name, i)[a], 3).alias(f"{'seen' if name == 'seen' else 'back'}_{a}{'2' if i else ''}") for a in "xy"]
+    return back.select("image_id", "det_idx", "source", "coord_space", *at("seen", 0), *at("box", 0), *at("seen", 2), *at("box", 2))
+
+
+@query()
+def read_in_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passes.read(_seen(spark, sf_dir), _images(spark, sf_dir))
+    return found.select("image_id", "position", "text", "confidence", "source", "coord_space", *[F.round(c, 3).alias(c) for c in "xywh"])
+
+
 # Merging
 
 
@@ -505,7 +600,7 @@ def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", *[c for n in ("scanner", "reader", "smooth") for c in (n, f"{n}_status")])
 
 
-_SIZES = "SELECT p_partkey, CAST(p_partkey * 37 % 4001 + 1 AS BIGINT) AS w, CAST(p_partkey * 61 % 3001 + 1 AS BIGINT) AS h FROM part"
+_BOUNDED = "SELECT p_partkey, CAST(p_partkey * 37 % 4001 + 1 AS BIGINT) AS w, CAST(p_partkey * 61 % 3001 + 1 AS BIGINT) AS h FROM part"
 _W, _T = float(geometry.WIDEST), float(geometry.LONGEST_READ)
 
 
@@ -515,7 +610,7 @@ SELECT p_partkey, CASE WHEN w <= {_W} THEN w ELSE CAST(floor(w * ({_W}::DOUBLE /
   CASE WHEN side > {_T} THEN CAST(greatest(1, floor(w * ({_T}::DOUBLE / side))) AS BIGINT) WHEN least(w, h) < 1100 THEN CAST(greatest(1, floor(gw * part_of)) AS BIGINT) ELSE w END AS reading_width,
   CASE WHEN side > {_T} THEN CAST(greatest(1, floor(h * ({_T}::DOUBLE / side))) AS BIGINT) WHEN least(w, h) < 1100 THEN CAST(greatest(1, floor(gh * part_of)) AS BIGINT) ELSE h END AS reading_height
 FROM (SELECT *, least(1::DOUBLE, {_T}::DOUBLE / greatest(gw, gh)) AS part_of FROM (
-  SELECT *, greatest(w, h) AS side, floor(w * (1100::DOUBLE / least(w, h))) AS gw, floor(h * (1100::DOUBLE / least(w, h))) AS gh FROM ({_SIZES})))""")
+  SELECT *, greatest(w, h) AS side, floor(w * (1100::DOUBLE / least(w, h))) AS gw, floor(h * (1100::DOUBLE / least(w, h))) AS gh FROM ({_BOUNDED})))""")
 def size_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = source.table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey * 37 % 4001 + 1 AS w", "p_partkey * 61 % 3001 + 1 AS h")
     found = {"scan": geometry.scan_size, "smoothed": geometry.smoothed_size, "reading": geometry.reading_size}

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import dialect, geometry, text, values
-from tagloom.operators import compliance, confidence, extraction, field_scores, images, line_classification, merging, passes
+from tagloom.operators import compliance, confidence, extraction, field_scores, images, line_classification, masks, merging, passes, pixels
 from tagloom.plans import packages
 from tagloom.sources import labels as source
 from tagloom.sources.history import COLUMNS, numbered
@@ -600,6 +600,121 @@ def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", *[c for n in ("scanner", "reader", "smooth") for c in (n, f"{n}_status")])
 
 
+# Lines of pixels
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.lines_of(_pixels(spark, sf_dir).withColumnRenamed("vec_id", "image_id"), "px", 8)
+
+
+def _bits(lines: DataFrame, bit: Callable[[Column], Column]) -> DataFrame:
+    """vec_id and mask: all pixels of the eight lines of an image as noughts and ones."""
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(bit(i), "1").otherwise("0")), "")
+    held = lines.select(F.col("image_id").alias("vec_id"), "y", line.alias("line"))
+    return held.groupBy("vec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "line"))), lambda r: r.line), "").alias("mask"))
+
+
+_P = f"SELECT vec_id, i // 8 AS y, i % 8 AS x, px[i + 1] AS v FROM ({_PIXELS}), unnest(range(64)) AS u(i)"
+
+
+@query(f"""SELECT vec_id, coalesce(arg_max(v, [between_, -v]) FILTER (between_ > 0), 0)::BIGINT AS threshold FROM (
+  SELECT vec_id, v, round(CASE WHEN n1 < n THEN n1 * (n - n1) * (s1 / n1 - (s - s1) / (n - n1)) ** 2 ELSE 0 END, 6) AS between_ FROM (
+    SELECT vec_id, v, sum(c) OVER w AS n1, sum(c * v) OVER w AS s1, sum(c) OVER g AS n, sum(c * v) OVER g AS s FROM (SELECT vec_id, v, count(*) AS c FROM ({_P}) GROUP BY vec_id, v)
+    WINDOW w AS (PARTITION BY vec_id ORDER BY v), g AS (PARTITION BY vec_id))) GROUP BY vec_id""")
+def otsu_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.otsu(_lines(spark, sf_dir)).withColumnRenamed("image_id", "vec_id")
+
+
+_BELL = ", ".join(f"({k - 15}, {w!r}::DOUBLE)" for k, w in enumerate(pixels.gaussian(pixels.SIDE)))
+
+
+@query(f"""WITH p AS MATERIALIZED ({_P}), k(d, w) AS (VALUES {_BELL}),
+  a AS MATERIALIZED (SELECT p.vec_id, p.y, p.x, sum(k.w * q.v) AS v FROM p, k, p q WHERE q.vec_id = p.vec_id AND q.y = p.y AND q.x = greatest(0, least(7, p.x + k.d)) GROUP BY p.vec_id, p.y, p.x),
+  m AS (SELECT a.vec_id, a.y, a.x, floor(round(sum(k.w * q.v), 6) + 0.5) AS mean FROM a, k, a q WHERE q.vec_id = a.vec_id AND q.x = a.x AND q.y = greatest(0, least(7, a.y + k.d)) GROUP BY a.vec_id, a.y, a.x)
+SELECT p.vec_id, string_agg(CASE WHEN v - mean > -{pixels.OFFSET} THEN '1' ELSE '0' END, '' ORDER BY p.y, p.x) AS mask FROM p JOIN m ON m.vec_id = p.vec_id AND m.y = p.y AND m.x = p.x GROUP BY p.vec_id""")
+def adaptive_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bits(pixels.adaptive(_lines(spark, sf_dir)), lambda i: F.get("px", i) > 0)
+
+
+SPOT, BODY, STEEP = 150, 100, 40
+
+
+def _mask(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    return masks.masked(_lines(spark, sf_dir), F.transform("px", lambda v: v >= least))
+
+
+def _stepped_sql(inner: str, grow: bool) -> str:
+    """A step of morphology with the kernel of five pixels, over m (64 noughts and ones)."""
+    out = "0" if grow else "1"
+    near = ["m[i + 1]", *[f"CASE WHEN {t} THEN m[i + 1 + {d}] ELSE {out} END" for t, d in (("i % 8 > 0", -1), ("i % 8 < 7", 1), ("i >= 8", -8), ("i < 56", 8))]]
+    return f"SELECT vec_id, list_transform(range(64), lambda i: {'greatest' if grow else 'least'}({', '.join(near)})) AS m FROM ({inner})"
+
+
+def _cleaned_sql(least: int) -> str:
+    sql = f"SELECT vec_id, list_transform(px, lambda v: CASE WHEN v >= {least} THEN 1 ELSE 0 END) AS m FROM ({_PIXELS})"
+    for grow in (False, True, True, True, False, False):
+        sql = _stepped_sql(sql, grow)
+    return sql
+
+
+@query(f"SELECT vec_id, array_to_string(m, '') AS mask FROM ({_cleaned_sql(SPOT)})")
+def cleaned_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bright spots without single pixels and small gaps: opened once, closed twice."""
+    kernel = masks.ellipse(3)
+    done = masks.closed(masks.opened(_mask(spark, sf_dir, SPOT), kernel), kernel, masks.CLOSINGS)
+    return _bits(done, lambda i: F.exists("runs", lambda q: (q["a"] <= i) & (i < q["b"])))
+
+
+def _regions_sql(least: int) -> str:
+    return f"""
+    WITH RECURSIVE runs AS MATERIALIZED (
+      SELECT vec_id, y, min(x) AS a, max(x) + 1 AS b, y * {masks.WIDEST} + min(x) AS node FROM (
+        SELECT vec_id, y, x, x - row_number() OVER (PARTITION BY vec_id, y ORDER BY x) AS k FROM ({_P}) WHERE v >= {least}) GROUP BY vec_id, y, k
+    ), links AS MATERIALIZED (
+      SELECT p.vec_id, p.node, q.node AS other FROM runs p JOIN runs q ON q.vec_id = p.vec_id AND abs(q.y - p.y) = 1 AND p.a <= q.b AND q.a <= p.b
+    ), reached AS (
+      SELECT vec_id, node, node AS region FROM runs UNION SELECT r.vec_id, l.other, r.region FROM reached r JOIN links l ON l.vec_id = r.vec_id AND l.node = r.node
+    ), named AS (SELECT vec_id, node, min(region) AS region FROM reached GROUP BY vec_id, node)
+    SELECT vec_id, region, sum(b - a)::BIGINT AS area, min(a) AS x, min(y) AS y, max(b) - min(a) AS width, max(y) + 1 - min(y) AS height,
+      min([a + y, y, a])[2:3] AS tl, min([y - b + 1, y, b - 1])[2:3] AS tr, max([b - 1 + y, y, b - 1])[2:3] AS br, max([y - a, y, a])[2:3] AS bl
+    FROM runs JOIN named USING (vec_id, node) GROUP BY vec_id, region"""
+
+
+@query(f"SELECT vec_id, region, area, x, y, width, height, concat_ws(' ', tl[2], tl[1], tr[2], tr[1], br[2], br[1], bl[2], bl[1]) AS corners FROM ({_regions_sql(SPOT)})")
+def mask_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = masks.regions(_mask(spark, sf_dir, SPOT))
+    text = F.array_join(F.flatten(F.transform("corners", lambda c: F.array(c["x"].cast("long").cast("string"), c["y"].cast("long").cast("string")))), " ")
+    return found.select(F.col("image_id").alias("vec_id"), "region", "area", F.col("x").cast("long").alias("x"), "y", F.col("width").cast("long").alias("width"), "height", text.alias("corners"))
+
+
+@query(f"""WITH r AS MATERIALIZED ({_regions_sql(BODY)}), t AS (
+  SELECT *, area / 64.0::DOUBLE AS area_ratio, area / (width * height)::DOUBLE AS fill, greatest(x, y, 8 - x - width, 8 - y - height) / 8.0::DOUBLE AS gap FROM r
+), best AS (
+  SELECT vec_id, count(*) AS candidates, arg_max(area_ratio, [score, area_ratio, -region]) AS area_ratio, max(score) AS score FROM (
+    SELECT *, round(0.65::DOUBLE * least(area_ratio / 0.72::DOUBLE, 1) + 0.20::DOUBLE * least(fill, 1) + 0.15::DOUBLE * greatest(0, 1 - least(gap / 0.12::DOUBLE, 1)), 8) AS score FROM t WHERE area_ratio >= 0.15 AND fill >= 0.60)
+  GROUP BY vec_id
+), d AS (SELECT e.vec_id, b.*EXCLUDE (vec_id), coalesce(area_ratio >= 0.72 AND score * 100 >= 55, false) AS outer_ FROM embeddings e LEFT JOIN best b ON b.vec_id = e.vec_id)
+SELECT vec_id, CASE WHEN outer_ THEN 'OUTER_RECTANGLE' ELSE 'UNKNOWN' END AS detection_mode, CASE WHEN outer_ THEN round(score * 100, 2) ELSE 0 END::DOUBLE AS confidence, coalesce(candidates, 0) AS candidates,
+  CASE WHEN outer_ THEN round(area_ratio * 100, 2) ELSE 0 END::DOUBLE AS area_ratio FROM d""")
+def package_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 8 by 8 are too small to be labels as they are, so two of the outcomes occur."""
+    sizes = _image_statistics(spark, sf_dir).select(F.col("vec_id").alias("image_id"), F.col("width").alias("image_width"), F.col("height").alias("image_height"), "contrast", F.lit(0.0).alias("edge_density"))
+    found = masks.boundaries(masks.regions(_mask(spark, sf_dir, BODY)), sizes)
+    return found.select(F.col("image_id").alias("vec_id"), "detection_mode", "confidence", "candidates", "area_ratio")
+
+
+_TURNS = ", ".join(f"({t!r}::DOUBLE, {pixels.math.cos(pixels.math.radians(t))!r}::DOUBLE, {pixels.math.sin(pixels.math.radians(t))!r}::DOUBLE)" for t in (round(-3 + 0.25 * i, 4) for i in range(25)))
+
+
+@query(f"""WITH p AS MATERIALIZED ({_P}), e AS (
+  SELECT p.vec_id, p.x, p.y FROM p LEFT JOIN p r ON r.vec_id = p.vec_id AND r.y = p.y AND r.x = p.x + 1 LEFT JOIN p b ON b.vec_id = p.vec_id AND b.x = p.x AND b.y = p.y + 1
+  WHERE abs(r.v - p.v) >= {STEEP} OR abs(b.v - p.v) >= {STEEP}
+), k(turn, c, s) AS (VALUES {_TURNS})
+SELECT vec_id, turn, upright, floor(round(CASE WHEN upright THEN x * c + y * s ELSE y * c - x * s END, 6) + 0.5)::BIGINT AS rho, count(*) AS n FROM e, k, (SELECT unnest([false, true]) AS upright) GROUP BY ALL""")
+def skew_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.votes(pixels.edges(_lines(spark, sf_dir), STEEP)).withColumnRenamed("image_id", "vec_id")
+
+
 _BOUNDED = "SELECT p_partkey, CAST(p_partkey * 37 % 4001 + 1 AS BIGINT) AS w, CAST(p_partkey * 61 % 3001 + 1 AS BIGINT) AS h FROM part"
 _W, _T = float(geometry.WIDEST), float(geometry.LONGEST_READ)
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.dialect import once
+
 # Side and offset of the adaptive threshold, and what it makes of a pixel.
 SIDE, OFFSET, WHITE = 31, 8, 255
 
@@ -70,15 +72,19 @@ def around(radius: int) -> Window:
 def smoothed(lines: DataFrame, weights: list[float], border: Border, name: str) -> DataFrame:
     """lines with column name: px weighed along lines, then across them, rounded to whole values. weights: an odd number of them."""
     radius = len(weights) // 2
-    steps, weigh = F.sequence(F.lit(-radius), F.lit(radius)), F.array(*map(F.lit, weights))
-    total = lambda value: F.aggregate(steps, F.lit(0.0), lambda a, k: a + F.get(weigh, k + radius) * value(k))
-    size = F.size("px")
-    each = lambda f: F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), f)).otherwise(F.array().cast("array<double>"))
-    along = lines.withColumn("_along", each(lambda x: total(lambda k: F.get("px", border(x + k, size).cast("int")))))
+    size, weigh, zero = F.size("px"), F.array(*map(F.lit, weights)), F.lit(0.0)
+    empty = F.array().cast("array<double>")
+    beyond = lambda first: F.transform(F.sequence(F.lit(0), F.lit(radius - 1)), lambda k: F.get("px", border(first + k, size).cast("int")))
+    padded = F.concat(beyond(F.lit(-radius)), "px", beyond(size)) if radius else F.col("px")
+    near = lambda line, x: F.aggregate(F.zip_with(F.slice(line, x + 1, F.lit(len(weights))), weigh, lambda v, w: v * w), zero, lambda a, v: a + v)
+    along = once(padded, lambda line: F.transform(F.sequence(F.lit(0), size - 1), lambda x: near(line, x)))
+    held = lines.withColumn("_along", F.when(size > 0, along).otherwise(empty))
     height = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
-    met = along.withColumns({"_near": F.collect_list("_along").over(around(radius)), "_height": height})
+    met = held.withColumns({"_near": F.collect_list("_along").over(around(radius)), "_height": height})
     first = F.greatest(F.col("y") - radius, F.lit(0))
-    across = each(lambda x: total(lambda k: F.get(F.get("_near", (border(F.col("y") + k, F.col("_height")) - first).cast("int")), x)))
+    rows = F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda k: F.get("_near", (border(F.col("y") + k, F.col("_height")) - first).cast("int")))
+    pairs = F.zip_with(rows, weigh, lambda r, w: F.struct(r.alias("r"), w.alias("w")))
+    across = F.aggregate(pairs, F.transform("_along", lambda v: v * 0.0), lambda a, p: F.zip_with(a, p["r"], lambda s, v: s + v * p["w"]))
     return met.withColumn(name, F.transform(across, lambda v: F.floor(F.round(v, 6) + 0.5).cast("double"))).drop("_along", "_near", "_height")
 
 

@@ -4,34 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tagloom.functions.text import shown
+from tagloom.sources import committed
 
 COLUMNS = ["product_name", "mrp", "net_quantity", "manufacturer", "address", "overall_status", "scanned_at"]
-SCHEMA = "id long, " + ", ".join(f"{c} string" for c in COLUMNS)
+SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
 #: Ranges by which rows are numbered.
 RANGES = 64
 
 
 def create_history(spark: SparkSession, path: str) -> None:
     """An empty history, unless there is one."""
-    if not _there(spark, path):
-        spark.createDataFrame([], SCHEMA).write.mode("append").parquet(path)
-
-
-def _there(spark: SparkSession, path: str) -> bool:
-    try:
-        _stored(spark, path).schema
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    committed.create(spark, path)
 
 
 def history_rows(results: DataFrame, scanned_at: str | None = None) -> DataFrame:
@@ -40,20 +25,17 @@ def history_rows(results: DataFrame, scanned_at: str | None = None) -> DataFrame
     return results.select(*[F.col(c).cast("string").alias(c) for c in COLUMNS[:-1]], now.alias("scanned_at"))
 
 
-def save_scans(results: DataFrame, path: str, scanned_at: str | None = None, batch: str | None = None) -> None:
-    """Adds results to the history. Ids rise from what is there, with gaps. batch: a name under which these rows are kept; saving it again replaces them, so a batch can be retried."""
-    spark = results.sparkSession
-    last = (_stored(spark, path).agg(F.max("id")).first()[0] or 0) if _there(spark, path) else 0
-    rows = history_rows(results, scanned_at).select((F.monotonically_increasing_id() + last + 1).alias("id"), *COLUMNS)
-    if batch is None:
-        rows.write.mode("append").parquet(path)
-    else:
-        rows.write.mode("overwrite").parquet(f"{path}/{batch}")
+def save_scans(results: DataFrame, path: str, scanned_at: str | None = None, batch: str | None = None) -> bool:
+    """Adds results to the history at path as one batch, which needs no creation before; whether they were added. Ids go on from what is there without gaps, also with several writers.
+
+    batch: a name; a batch of that name is added once, so one that may have been saved can be saved again.
+    """
+    return committed.append(history_rows(results, scanned_at), path, batch)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Latest first."""
-    return _stored(spark, path).orderBy(F.desc("id"))
+    """Latest first; no row where nothing was saved."""
+    return committed.read(spark, path, SCHEMA).orderBy(F.desc("id"))
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:

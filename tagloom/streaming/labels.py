@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tagloom.plans.packages import checked_labels
+from tagloom.sources.committed import stream_batch
 from tagloom.sources.history import save_scans
 
 SCHEMA = "label_id long, text string, scanned_at timestamp"
@@ -30,10 +29,9 @@ def statuses_by_window(checked: DataFrame, width: str = "10 minutes", delay: str
 
 
 def run_into_history(checked: DataFrame, history: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is kept under its own name, so one that is retried after a failure replaces itself; what is there already is processed, then the query ends."""
-    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
+    """Each micro-batch is added to the history once, also if it is retried; what is there already is processed, then the query ends."""
 
     def save(batch: DataFrame, number: int) -> None:
-        save_scans(batch, history, batch=f"stream-{stream}-{number}")
+        save_scans(batch, history, batch=stream_batch(batch.sparkSession, checkpoint, number))
 
     return checked.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

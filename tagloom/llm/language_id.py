@@ -37,6 +37,8 @@ SMOOTHING = 0.5
 LEAST_SHARE = 0.01
 #: The model is learned from so many labelled documents, about; all of them if there are fewer.
 TRAINING_DOCUMENTS = 20_000
+#: Languages at most; each takes 256 KiB of the model.
+LANGUAGES = 400
 PIECE_BYTES = 3 << 20
 UNKNOWN = "und"
 
@@ -120,12 +122,17 @@ class Model:
     candidates: np.ndarray  # SCRIPTS x languages
 
 
-def train(docs: DataFrame, limit: int = TRAINING_DOCUMENTS) -> Model:
-    """From docs (text, lang) with both not null; about `limit` distinct (text, lang) by the hash of their text, or all: a repeated text counts once. The counts that reach the driver are bounded by the table's size and the number of languages."""
+def train(docs: DataFrame, limit: int = TRAINING_DOCUMENTS, most: int = LANGUAGES) -> Model:
+    """From docs (text, lang) with both not null; about `limit` distinct (text, lang) by the hash of their text, or all: a repeated text counts once.
+
+    More than `most` languages are an error, so the counts that reach the driver, and the model that every task gets, are bounded by that times the table's size.
+    """
     labelled = docs.where("text is not null and lang is not null").select(F.lower("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     total = labelled.select(F.xxhash64("text").alias("mark"), "lang").distinct().count()
     if total > limit:
         labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.lit(int(1_000_003 * limit / total)))
+    if labelled.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"there are more than {most} languages; is this a column of languages?")
     counts = in_arrow(labelled.distinct(), _counted, "lang string, number int, n long").groupBy("lang", "number").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     index = {x: i for i, x in enumerate(langs)}
@@ -187,7 +194,7 @@ def _labelled(model: Model, w: Words, n_texts: int, switch: float) -> np.ndarray
 
 
 def _broadcast(spark: SparkSession, model: Model):
-    return spark.sparkContext.broadcast(model)  # languages x 64 Ki numbers
+    return spark.sparkContext.broadcast(model)  # LANGUAGES x 64 Ki numbers at most
 
 
 def label_spans(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:

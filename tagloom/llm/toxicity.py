@@ -183,7 +183,8 @@ def _bags_of(features: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, categories: dict[str, str] = CATEGORIES) -> Chain:
     """The chain for docs (doc_id, text) and labels (doc_id, and what the SQL of up to eight categories names). Rows without id are left out; a null label counts as no.
 
-    It is fitted on the driver to the chosen features of at most about `limit` rows. Without labelled rows every probability is 0.5 and nothing is rejected.
+    It is fitted on the driver to the chosen features of about `limit` rows at most: of labels and of what they bring, rows are sampled by hash if they are more. A row that is repeated, with its id and text, counts
+    once; a null text is empty. Texts of any length are read whole. Other columns of both are ignored. Without labelled rows every probability is 0.5 and nothing is rejected.
     """
     k = len(categories)
     bits = sum((F.max(F.coalesce(F.expr(sql).cast("int"), F.lit(0))) * (1 << i) for i, sql in enumerate(categories.values())), F.lit(0))
@@ -191,10 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, catego
     total = marks.count()
     if total > limit:
         marks = marks.where(F.pmod(F.xxhash64("label_id", F.lit("sample")), F.lit(1_000_003)) < F.lit(int(1_000_003 * limit / total)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text")
-    rows = texts.join(F.broadcast(marks), "label_id").select(  # `limit` short rows
-        F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "label_bits", "text"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").withColumn("mark", F.xxhash64("text"))
+    joined = texts.join(F.broadcast(marks), "label_id")  # `limit` short rows
+    given = joined.select("label_id", "mark").distinct().count()
+    if given > limit:  # ids that are repeated bring several texts
+        joined = joined.where(F.pmod(F.xxhash64("label_id", "mark", F.lit("rows")), F.lit(1_000_003)) < F.lit(int(1_000_003 * limit / given)))
+    rows = joined.groupBy("label_id", "mark", "label_bits").agg(F.min("text").alias("text")).select(F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "label_bits", "text")
     sizes = {(r.fold, r.label_bits): r.n for r in rows.groupBy("fold", "label_bits").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Chain(list(categories), [Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(i), 0.0) for i in range(k)], fitted=False)
@@ -221,7 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, catego
 
 
 def predict(docs: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id and the probability of each category (double, named after it) for each row of docs; a null text is empty."""
+    """doc_id and the probability of each category (double, named after it) for each row of docs; a null text is empty.
+
+    Repeated rows and ids each have their row, a null doc_id stays null; texts of any length are read whole. Other columns are ignored; an empty table gives an empty one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(chain)  # categories x FEATURES numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +242,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, p_<category> and rejected for every document."""
+    """doc_id, p_<category> and rejected for every document; see train and predict for odd rows."""
     docs = documents(spark, sf_dir)
     chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     p = predict(docs, chain)
@@ -244,7 +250,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of docs that the chain doesn't reject."""
+    """Pipeline stage: the rows of docs that the chain doesn't reject, with all their columns; a null or empty text is only rejected if the chain rejects one without words. An empty table stays empty."""
     chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not chain.fitted:
         return docs

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from tagloom.llm import language_id, toxicity
 from tests.llm.common import ODD, frame
@@ -115,3 +116,69 @@ def test_a_repeated_text_is_learned_once(spark):
     assert one.langs == many.langs and np.array_equal(one.scores, many.scores)
     sampled = [language_id.train(frame(spark, x), limit=20).scores for x in (rows, rows + often)]
     assert np.array_equal(*sampled)
+
+
+def test_rows_of_a_hot_id_are_bounded(spark, monkeypatch):
+    rows, labels = toxic_rows(5, 300)
+    hot = [(7, f"{rows[7][1]} more{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(3000)] + [rows[9]] * 2000
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fitted = []
+    whole = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda *a: fitted.append(len(a[-1])) or whole(*a))
+    toxicity.train(frame(spark, rows + hot), marks, limit=400)
+    assert 300 < fitted[0] < 500
+    plain = toxicity.train(frame(spark, rows), marks)
+    often = toxicity.train(frame(spark, rows + [rows[9]] * 2000), marks)
+    assert all(np.array_equal(a.weights, b.weights) for a, b in zip(plain.models, often.models, strict=True))
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def plain_fit(x, y):
+    """Gradient steps with momentum on whole matrices: features first, then earlier probabilities, then the bias."""
+    n, k = x.shape
+    w = np.zeros(k + 1)
+    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    x1, ridge = np.column_stack([x, np.ones(n)]), np.append(np.full(k, toxicity.RIDGE / n), 0.0)
+    m = v = np.zeros(k + 1)
+    for t in range(1, toxicity.ROUNDS + 1):
+        slope = x1.T @ ((sigmoid(x1 @ w) - y) / n) + ridge * w
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return w
+
+
+def test_chain_equals_a_plain_statement(spark, monkeypatch):
+    rows, labels = toxic_rows(6, 200)
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    whole = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda *a: seen.append(a) or whole(*a))
+    chain = toxicity.train(docs, marks)
+    names, chosen, fold, text, feature, count, y = seen[0]
+    n = len(y)
+    assert n == 200 and y.sum(0).min() > 5
+    dense = np.zeros((n, int(feature.max()) + 1))
+    np.add.at(dense, (text, feature), count)
+    dense = np.log1p(dense)
+    before, models = np.zeros((n, 0)), []
+    for k in range(len(names)):
+        of = lambda f, rows_: np.column_stack([dense[:, chosen[k][f]], before])[rows_]  # noqa: B023, E731
+        models.append(plain_fit(of(toxicity.FOLDS, slice(None)), y[:, k]))
+        unseen = np.zeros(n)
+        for f in range(toxicity.FOLDS):
+            w = plain_fit(of(f, fold != f), y[fold != f, k])
+            unseen[fold == f] = sigmoid(np.column_stack([of(f, fold == f), np.ones((fold == f).sum())]) @ w)
+        before = np.column_stack([before, unseen])
+    for model, w in zip(chain.models, models, strict=True):
+        assert np.allclose(np.concatenate([model.weights, model.earlier, [model.bias]]), w, atol=1e-6)
+    assert any(abs(m.earlier).max(initial=0) > 0.1 for m in chain.models)
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = [(i, f"word{i} here", f"l{i}") for i in range(12)]
+    assert len(language_id.train(frame(spark, rows), most=12).langs) == 12
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(frame(spark, rows), most=11)

@@ -169,3 +169,12 @@ def test_parity_sketches_never_differ_more_than_their_sets():
         apart = len(np.setxor1d(x, y))
         assert near_duplicates.differing(a, b) == near_duplicates.differing(b, a) <= apart
         assert near_duplicates.differing(a, a) == 0
+
+
+def test_no_pair_of_documents_is_missed(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    lowered = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    rows = [(r.doc_id, " ".join(re.findall(r"[^\x20\x09-\x0D]+", lowered(r.text)))) for r in docs.collect()]
+    expected = groups([k for k, _ in rows], similar_pairs(rows))
+    kept = {r.doc_id for r in near_duplicates.one_of_each(spark, docs, None).collect()}
+    assert len(set(expected.values())) < len(rows) and kept == set(expected.values())

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import dialect, geometry, text, values
+from tagloom.functions.tables import new_folder
 from tagloom.operators import compliance, confidence, extraction, field_scores, images, line_classification, masks, merging, passes, pixels
 from tagloom.plans import packages
 from tagloom.sources import labels as source
-from tagloom.sources.history import COLUMNS, numbered
+from tagloom.sources.history import COLUMNS, numbered, read_history, save_scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -775,3 +776,17 @@ FROM ({compliance.status_sql(_WHOLE, 'label_id')}) s JOIN ({_EXTRACTED}) e ON e.
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbered(checked_labels(spark, sf_dir), "label_id")
     return rows.select("id", *COLUMNS[:-1], F.lit("2026-01-01T00:00:00").alias("scanned_at")).orderBy(F.desc("id"))
+
+
+@query(f"""SELECT product_name, mrp, net_quantity, manufacturer, address, overall_status, CASE WHEN even THEN '2026-01-01T00:00:00' ELSE '2026-01-02T00:00:00' END AS scanned_at,
+  CASE WHEN even THEN 1 ELSE n_even + 1 END::BIGINT AS batch_first, CASE WHEN even THEN n_even ELSE n END::BIGINT AS batch_last
+FROM (SELECT e.product_name, e.mrp, e.net_quantity, e.manufacturer, e.address, s.overall_status, e.label_id % 2 = 0 AS even, count_if(e.label_id % 2 = 0) OVER () AS n_even, count(*) OVER () AS n
+  FROM ({compliance.status_sql(_WHOLE, 'label_id')}) s JOIN ({_EXTRACTED}) e ON e.label_id = s.label_id)""")
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked labels saved in two batches, one of them twice, and read back with the first and last id of their batch."""
+    checked, path = checked_labels(spark, sf_dir), new_folder(spark)
+    for name, time, part in (("even", "2026-01-01T00:00:00", 0), ("odd", "2026-01-02T00:00:00", 1), ("even", "2026-01-03T00:00:00", 0)):
+        save_scans(checked.where(F.col("label_id") % 2 == part), path, time, batch=name)
+    rows = read_history(spark, path)
+    bounds = rows.groupBy("scanned_at").agg(F.min("id").alias("batch_first"), F.max("id").alias("batch_last"))
+    return rows.join(bounds, "scanned_at").select(*COLUMNS, "batch_first", "batch_last")

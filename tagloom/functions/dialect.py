@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from dataclasses import replace as changed
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,20 +13,37 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Step:
-    """pattern and replacement as Java has them; oracle: (pattern, replacement) pairs where the other dialect lacks look-around or back-references."""
+    """pattern and replacement as Java has them; oracle: (pattern, replacement) pairs where the other dialect lacks look-around or back-references.
+    gate: a pattern that is found in every text which this step changes; neighbouring steps of one gate are passed over together where it isn't found."""
 
     pattern: str
     replacement: str
     any_case: bool = True
     oracle: tuple[tuple[str, str], ...] = ()
+    gate: str = ""
 
 
-def replaced(text: Column, steps: list[Step]) -> Column:
+def gated(gate: str, steps: list[Step]) -> list[Step]:
+    """steps behind one gate. If no step finds anything in the text as it is, none will after the others; so the gate has to hold for single steps only."""
+    return [changed(s, gate=gate) for s in steps]
+
+
+def _each(text: Column, steps: list[Step]) -> Column:
     for s in steps:
         text = F.regexp_replace(text, ("(?i)" if s.any_case else "") + s.pattern, s.replacement)
     return text
 
 
+def _behind(gate: str, steps: list[Step]) -> Callable[[Column], Column]:
+    return lambda t: F.when(t.rlike(gate), _each(t, steps)).otherwise(t)
+
+
+def replaced(text: Column, steps: list[Step]) -> Column:
+    for gate, own in groupby(steps, lambda s: s.gate):
+        text = once(text, _behind(gate, list(own))) if gate else _each(text, list(own))
+    return text
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -49,7 +68,9 @@ def matches_sql(text: str, pattern: str, any_case: bool = True) -> str:
 
 
 STRIP = Step(r"^\s+|\s+$", "", False)
-SQUEEZE = Step(r"\s+", " ", False)
+#: One blank for each run of white space, or of blanks and tabs. A single blank isn't a match, so that not every gap between words is written anew.
+SQUEEZE = Step(r"\s{2,}|[^\S ]", " ", False)
+BLANKS = Step(r"[ \t]{2,}|\t", " ", False)
 
 
 def steady(x: Column, digits: int) -> Column:

@@ -12,52 +12,72 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.functions.dialect import SQUEEZE, STRIP, Step, once, quoted, replaced, replaced_sql
+from tagloom.functions.dialect import BLANKS, SQUEEZE, STRIP, Step, gated, once, quoted, replaced, replaced_sql
+
+#: What any text holds that steps of the normal form change: artifacts, white space, headings, currency and units.
+ODD_MARKS = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}¦—–]"
+ODD_SPACE = r"[\r\t\n]|\s[,:;.!?]|  |^\s|\s$"
+HEADING = r"(?i)\b(?:M\s*\.?\s*R\s*\.?\s*P|NET\s|MF[DG]|MANUFACTURED|PACKED|PKD|MKT|EXP(?:\.|\b|\s*DATE)|USE\s*BY|BEST\s*BEFORE|FSSAI)"
+MONEY = r"(?i)\b(?:R[5S](?:\.|\b)|INR\b)"
+UNIT = r"(?i)\d\s*(?:KGS?|GMS?|M[GL]|LTRS?|LIT(?:RE|ER)|L)\b"
 
 # The replacements that define the normal form, in order.
-WHITESPACE = [
+_WHITESPACE = [
     Step(r"\r", "\n", False),
     Step(r"\t", " ", False),
     Step(r"\s+([,:;.!?])", "$1", False),
-    Step(r"[ \t]+", " ", False),
+    BLANKS,
     Step(r"\n[ \t]*\n+", "\n", False),
     STRIP,
 ]
-ARTIFACTS = [Step(r"[\x{200B}-\x{200F}\x{202A}-\x{202E}]", "", False), Step("¦", "|", False), Step("[—–]", "-", False)]
-MRP_HEADING = [Step(r"\bM\s*\.?\s*R\s*\.?\s*P\s*\.?\b", "MRP")]
-QUANTITY_HEADINGS = [
-    Step(r"\bNET\s+WT\.?\b", "NET WEIGHT"),
-    Step(r"\bNET\s+W[T7]\.?\b", "NET WEIGHT"),
-    Step(r"\bNET\s+QTY\.?\b", "NET QUANTITY"),
-    Step(r"\bNET\s+QUANT[I1]TY\b", "NET QUANTITY"),
-    Step(r"\bNET\s+CONTENT[S5]?\b", "NET CONTENT"),
-]
-MAKER_HEADINGS = [
-    Step(r"\bMFD\.?\s*BY\b", "MANUFACTURED BY"),
-    Step(r"\bMFG\.?\s*BY\b", "MANUFACTURED BY"),
-    Step(r"\bMANUFACTURED\s*&\s*MARKETED\s*BY\b", "MANUFACTURED AND MARKETED BY"),
-    Step(r"\bMANUFACTURED\s+AND\s+MARKETED\s+BY\b", "MANUFACTURED AND MARKETED BY"),
-    Step(r"\bPACKED\s*&\s*MARKETED\s*BY\b", "PACKED AND MARKETED BY"),
-    Step(r"\bPACKED\s+AND\s+MARKETED\s+BY\b", "PACKED AND MARKETED BY"),
-    Step(r"\bPKD\.?\s*BY\b", "PACKED BY"),
-    Step(r"\bMKT\.?\s*BY\b", "MARKETED BY"),
-]
-DATE_HEADINGS = [
-    Step(r"\bMFG\.?\s*DATE\b", "MANUFACTURING DATE"),
-    Step(r"\bMFD\.?\s*DATE\b", "MANUFACTURING DATE"),
-    Step(r"\bMFG\.?\b", "MANUFACTURING"),
-    Step(r"\bEXP\.?\s*DATE\b", "EXPIRY DATE"),
-    Step(r"\bEXP\.?\b", "EXPIRY"),
-    Step(r"\bUSE\s*BY\b", "USE BY"),
-    Step(r"\bBEST\s*BEFORE\b", "BEST BEFORE"),
-]
-LICENCE_HEADINGS = [
-    Step(r"\bFSSAI\s+LIC\.?\s*NO\.?\b", "FSSAI LICENSE NUMBER"),
-    Step(r"\bFSSAI\s+LICENSE\s+NO\.?\b", "FSSAI LICENSE NUMBER"),
-    Step(r"\bFSSAI\s+LICENCE\s+NO\.?\b", "FSSAI LICENSE NUMBER"),
-    Step(r"\bFSSAI\s+NO\.?\b", "FSSAI NUMBER"),
-]
-CURRENCY = [Step(r"\bR5\.?\b", "Rs"), Step(r"\bRS\.?\b", "Rs"), Step(r"\bINR\b", "Rs"), Step(r"\bRs\s+", "Rs ", False)]
+WHITESPACE = gated(ODD_SPACE, _WHITESPACE)
+ARTIFACTS = gated(ODD_MARKS, [Step(r"[\x{200B}-\x{200F}\x{202A}-\x{202E}]", "", False), Step("¦", "|", False), Step("[—–]", "-", False)])
+MRP_HEADING = gated(HEADING, [Step(r"\bM\s*\.?\s*R\s*\.?\s*P\s*\.?\b", "MRP")])
+QUANTITY_HEADINGS = gated(
+    HEADING,
+    [
+        Step(r"\bNET\s+WT\.?\b", "NET WEIGHT"),
+        Step(r"\bNET\s+W[T7]\.?\b", "NET WEIGHT"),
+        Step(r"\bNET\s+QTY\.?\b", "NET QUANTITY"),
+        Step(r"\bNET\s+QUANT[I1]TY\b", "NET QUANTITY"),
+        Step(r"\bNET\s+CONTENT[S5]?\b", "NET CONTENT"),
+    ],
+)
+MAKER_HEADINGS = gated(
+    HEADING,
+    [
+        Step(r"\bMFD\.?\s*BY\b", "MANUFACTURED BY"),
+        Step(r"\bMFG\.?\s*BY\b", "MANUFACTURED BY"),
+        Step(r"\bMANUFACTURED\s*&\s*MARKETED\s*BY\b", "MANUFACTURED AND MARKETED BY"),
+        Step(r"\bMANUFACTURED\s+AND\s+MARKETED\s+BY\b", "MANUFACTURED AND MARKETED BY"),
+        Step(r"\bPACKED\s*&\s*MARKETED\s*BY\b", "PACKED AND MARKETED BY"),
+        Step(r"\bPACKED\s+AND\s+MARKETED\s+BY\b", "PACKED AND MARKETED BY"),
+        Step(r"\bPKD\.?\s*BY\b", "PACKED BY"),
+        Step(r"\bMKT\.?\s*BY\b", "MARKETED BY"),
+    ],
+)
+DATE_HEADINGS = gated(
+    HEADING,
+    [
+        Step(r"\bMFG\.?\s*DATE\b", "MANUFACTURING DATE"),
+        Step(r"\bMFD\.?\s*DATE\b", "MANUFACTURING DATE"),
+        Step(r"\bMFG\.?\b", "MANUFACTURING"),
+        Step(r"\bEXP\.?\s*DATE\b", "EXPIRY DATE"),
+        Step(r"\bEXP\.?\b", "EXPIRY"),
+        Step(r"\bUSE\s*BY\b", "USE BY"),
+        Step(r"\bBEST\s*BEFORE\b", "BEST BEFORE"),
+    ],
+)
+LICENCE_HEADINGS = gated(
+    HEADING,
+    [
+        Step(r"\bFSSAI\s+LIC\.?\s*NO\.?\b", "FSSAI LICENSE NUMBER"),
+        Step(r"\bFSSAI\s+LICENSE\s+NO\.?\b", "FSSAI LICENSE NUMBER"),
+        Step(r"\bFSSAI\s+LICENCE\s+NO\.?\b", "FSSAI LICENSE NUMBER"),
+        Step(r"\bFSSAI\s+NO\.?\b", "FSSAI NUMBER"),
+    ],
+)
+CURRENCY = gated(MONEY, [Step(r"\bR5\.?\b", "Rs"), Step(r"\bRS\.?\b", "Rs"), Step(r"\bINR\b", "Rs"), Step(r"\bRs\s+", "Rs ", False)])
 
 
 def _unit(pattern: str, name: str) -> Step:
@@ -65,7 +85,7 @@ def _unit(pattern: str, name: str) -> Step:
 
 
 UNITS = [
-    *[_unit(p, n) for p, n in (("KGS?", "KG"), ("KG", "KG"), ("GMS?", "G"), ("MG", "MG"), ("ML", "ML"), ("LTRS?", "L"), ("LIT(?:RE|ER)", "L"), ("L", "L"))],
+    *gated(UNIT, [_unit(p, n) for p, n in (("KGS?", "KG"), ("KG", "KG"), ("GMS?", "G"), ("MG", "MG"), ("ML", "ML"), ("LTRS?", "L"), ("LIT(?:RE|ER)", "L"), ("L", "L"))]),
     SQUEEZE,
     STRIP,
 ]
@@ -91,7 +111,7 @@ REPAIRS = [
 # The form that several views of a package are merged in. Lines are kept.
 VIEW_FORM = [
     Step("[–—]", "-", False),
-    Step(r"[ \t]+", " ", False),
+    BLANKS,
     Step(r"\s*\.\s*", ".", False),
     Step(r"\bM\s*R\s*P\b", "MRP"),
     Step(r"\bM\s*F\s*G\b", "MFG"),

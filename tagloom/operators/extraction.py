@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.dialect import SQUEEZE, STRIP, Step, filled_sql, matches, matches_sql, once, quoted, replaced, replaced_sql
+from tagloom.functions.dialect import BLANKS, SQUEEZE, STRIP, Step, filled_sql, matches, matches_sql, once, quoted, replaced, replaced_sql
 from tagloom.functions.values import price, price_sql, quantity, quantity_sql
 
 # Headings, words and lines that the extraction knows.
@@ -23,6 +23,8 @@ MAKER_HEADINGS = [
 ]
 ADDRESS_HEADINGS = [r"\bADDRESS\b", r"\bREGISTERED\s+OFFICE\b", r"\bCORPORATE\s+OFFICE\b", r"\bMANUFACTURING\s+ADDRESS\b"]
 ALL_HEADINGS = [*PRICE_HEADINGS, *QUANTITY_HEADINGS, *MAKER_HEADINGS, *ADDRESS_HEADINGS]
+#: Is found in every line with a heading.
+ANY_HEADING = r"\b(?:M\.?\s*R|MAX|NET\s|MANUFACTUR|PACKED|MARKETED|MF[GD]|ADDRESS|REGISTERED|CORPORATE)"
 CONTACT = r"\b(?:customer\s+care|email|phone|mobile)\b"
 CONTACT_OR_ADDRESS = r"\b(?:address|customer\s+care|email|phone|mobile)\b"
 ADDRESS_WORDS = [
@@ -41,7 +43,7 @@ QUANTITY_ANYWHERE = r"\b(?:NET\s+WEIGHT|NET\s+QUANTITY|NET\s+QTY|NET\s+WT\.?)\s*
 
 FIELDS = ["product_name", "mrp", "net_quantity", "manufacturer", "address"]
 
-CLEAN_TEXT = [Step(r"\r", "\n", False), Step(r"\t", " ", False), Step(r"[ \t]+", " ", False), Step(r"\n\s*\n+", "\n", False), STRIP]
+CLEAN_TEXT = [Step(r"\r", "\n", False), Step(r"\t", " ", False), BLANKS, Step(r"\n\s*\n+", "\n", False), STRIP]
 EDGES = Step(r"^[ :\-–—|]+|[ :\-–—|]+$", "", False)
 CLEAN_VALUE = [STRIP, EDGES, SQUEEZE, STRIP]
 CLEAN_MAKER = [*CLEAN_VALUE, Step(r"[.,:;\-]+$", "", False)]
@@ -61,7 +63,12 @@ def clean_lines(text: Column) -> Column:
 
 
 def is_heading(line: Column, headings: list[str]) -> Column:
-    return matches(line, "|".join(f"(?:{h})" for h in headings))
+    return matches(line, ANY_HEADING) & matches(line, "|".join(f"(?:{h})" for h in headings))
+
+
+def is_no_name(line: Column) -> Column:
+    """One anchor for all patterns, so that they are tried at the start of the line only."""
+    return matches(line, "^(?:" + "|".join(h.removeprefix("^") for h in NOT_A_NAME) + ")")
 
 
 def value_after(line: Column, headings: list[str]) -> Column:
@@ -120,7 +127,7 @@ def extract_maker(lines: Column) -> Column:
 
 
 def looks_like_address(line: Column) -> Column:
-    words = F.exists(F.array(*map(F.lit, ADDRESS_WORDS)), lambda w: F.contains(F.lower(line), w))
+    words = once(F.lower(line), lambda x: F.exists(F.array(*map(F.lit, ADDRESS_WORDS)), lambda w: F.contains(x, w)))
     return line.rlike(PIN) | words | line.rlike(r"\d+\s*[-,/]")
 
 
@@ -139,7 +146,7 @@ def extract_address(lines: Column, maker: Column, pin: Column) -> Column:
 
 def extract_name(lines: Column) -> Column:
     """The first of ten candidate lines with five characters and a letter that isn't a section title, else the first candidate."""
-    candidates = F.filter(lines, lambda x: ~is_heading(x, NOT_A_NAME) & (F.length(x) >= 3) & ~x.rlike(ONLY_NUMBERS))
+    candidates = F.filter(lines, lambda x: ~is_no_name(x) & (F.length(x) >= 3) & ~x.rlike(ONLY_NUMBERS))
     named = F.filter(F.slice(candidates, 1, 10), lambda x: (F.length(x) >= 5) & x.rlike("[A-Za-z]") & ~F.upper(x).isin(*NEVER_A_NAME))
     return F.coalesce(F.get(named, 0), F.get(candidates, 0))
 

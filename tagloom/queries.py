@@ -128,8 +128,8 @@ _FORMS = f"SELECT kind, id, {_NORMAL} AS normal FROM ({_TEXTS})"
 
 @query(f"SELECT kind, id, normal, lower(regexp_replace(normal, '[^a-zA-Z0-9]+', '', 'g')) AS compact, trim(regexp_replace(lower(normal), {dialect.quoted(dialect.SQUEEZE.pattern)}, ' ', 'g')) AS searchable FROM ({_FORMS})")
 def text_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _texts(spark, sf_dir).select("kind", "id", text.normal(F.col("text")).alias("normal"))
-    return held.withColumns({"compact": text.compacted(F.col("normal")), "searchable": text.searchable(F.col("normal"))})
+    forms = lambda x: F.struct(x.alias("normal"), text.compacted(x).alias("compact"), text.searchable(x).alias("searchable"))
+    return _texts(spark, sf_dir).select("kind", "id", dialect.once(text.normal(F.col("text")), forms).alias("forms")).select("kind", "id", "forms.*")
 
 
 @query(f"SELECT kind, id, array_to_string(regexp_extract_all(normal, {dialect.quoted(text.TOKEN)}), ' ') AS tokens, len(regexp_extract_all(normal, {dialect.quoted(text.TOKEN)})) AS n FROM ({_FORMS})")

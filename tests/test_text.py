@@ -1,4 +1,8 @@
 import re
+from dataclasses import replace
+from functools import reduce
+from operator import or_
+from random import Random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -6,6 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tagloom.functions import text, values
+from tagloom.functions.dialect import BLANKS, SQUEEZE, matches, replaced
+from tagloom.operators import extraction
 
 
 def apply(spark, shape, texts):
@@ -70,3 +76,42 @@ def test_icons(spark, status, icon):
 def test_shown_and_valid(spark):
     assert apply(spark, text.shown, [None, " ", " a "]) == ["Not found", "Not found", "a"]
     assert apply(spark, text.is_valid, [None, "a", "ab", "a!?;:,.!?b", "....", "x1"]) == [False, False, True, False, False, True]
+
+
+PARTS = [
+    " ", "  ", "\t", "\n", "\r", "\x0b", "​", " ", "\u0085", "¦", "—", ".", ",", ":", "&", "|", "12", "5", "M", "R", "P", "mrp", "NET", "WT", "W7", "QTY", "QUANT1TY", "CONTENTS", "MFD", "mfg", "BY", "DATE",
+    "MANUFACTURED", "AND", "MARKETED", "PACKED", "PKD", "MKT", "EXP", "USE", "BEST", "BEFORE", "FSSAI", "LIC", "LICENSE", "LICENCE", "NO", "R5", "Rs", "RS", "INR", "KGS", "kg", "GMS", "gm", "mg", "ML", "LTRS", "litre", "L", "x",
+]
+
+
+def test_gates_change_nothing(spark):
+    """Texts of parts that headings, units and white space are made of, with and without gates; each step alone too."""
+    random = Random(7)
+    cases = ["".join(random.choices(PARTS, k=random.randint(0, 14))) for _ in range(3000)]
+    plain = [replace(s, gate="") for s in text.NORMAL_FORM]
+    assert apply(spark, lambda x: replaced(x, text.NORMAL_FORM), cases) == apply(spark, lambda x: replaced(x, plain), cases)
+    held = spark.createDataFrame([(c,) for c in cases], "t string").cache()
+    for gate in {s.gate for s in text.NORMAL_FORM if s.gate}:
+        behind = [s for s in plain if any(s == replace(g, gate="") and g.gate == gate for g in text.NORMAL_FORM)]
+        changed = [replaced(F.col("t"), [s]) != F.col("t") for s in behind]
+        assert held.where(~F.col("t").rlike(gate) & reduce(or_, changed)).isEmpty(), gate
+
+
+def test_white_space_equals_plain_statement(spark):
+    random = Random(8)
+    cases = ["".join(random.choices(" \t\n\r\x0b\x0cab", k=random.randint(0, 12))) for _ in range(500)]
+    assert apply(spark, lambda x: replaced(x, [SQUEEZE]), cases) == [re.sub(r"[ \t\n\r\x0b\x0c]+", " ", c) for c in cases]
+    assert apply(spark, lambda x: replaced(x, [BLANKS]), cases) == [re.sub(r"[ \t]+", " ", c) for c in cases]
+
+
+def test_every_heading_is_found_by_its_gate(spark):
+    """Lines of parts of headings: one with a heading always holds what any heading holds."""
+    random = Random(9)
+    words = ["MRP", "M.", "R.", "P", "MAX", "MAXIMUM", "RETAIL", "PRICE", "NET", "QUANTITY", "wt.", "MANUFACTURER", "MANUFACTURED", "MANUFACTURING", "BY", "&", "AND", "MARKETED", "PACKED", "MFG.", "mfd", "ADDRESS", "REGISTERED", "CORPORATE", "OFFICE", "x"]
+    cases = [random.choice(["", " "]).join(random.choices(words, k=random.randint(1, 5))) for _ in range(2000)]
+    anything = "|".join(f"(?:{h})" for h in extraction.ALL_HEADINGS)
+    found = apply(spark, lambda x: matches(x, anything) & ~matches(x, extraction.ANY_HEADING), cases)
+    assert not any(found) and any(apply(spark, lambda x: matches(x, anything), cases))
+    names = ["Nutrition facts", "packed", "x packed", "NET  weight 5", "date of", "a date of", "mrp", "", "Ingredients: a", "ingredient"]
+    plain = "|".join(f"(?:{h})" for h in extraction.NOT_A_NAME)
+    assert apply(spark, extraction.is_no_name, names) == apply(spark, lambda x: matches(x, plain), names)

@@ -1,9 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document of a source should be taken target / size of its source times. The whole part is taken as it is; the fractions
-are rounded in pairs: a random amount of words moves from one document to the other, in either direction with chances that
-leave both expectations alone, such that one of the two fractions becomes 0 or 1. So a source's total never changes. A pass over a node's documents needs to
-hold one unsettled document; the unsettled documents of up to `FAN` nodes meet in a node of the next level of a tree.
+are rounded in pairs: a random amount of words moves from one side to the other, in either direction with chances that
+leave all expectations alone, such that one of the two fractions becomes 0 or 1. So a source's total never changes. The sides are a document and all smaller ones of its node, so
+that a node is left with one open document, in general its smallest; those of up to `FAN` nodes meet in a node of the next level of a tree, and what is rounded without a partner at its root is small.
 """
 
 from __future__ import annotations
@@ -47,12 +47,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return reached.select("source", "source_size", "n_docs", "source_rank", F.when(F.col("reached").isNull(), F.col("most")).otherwise(F.least("most", F.col("reached") * F.col("weight"))).alias("target"))
 
 
-def _random(a: int, a_number: int, b: int, b_number: int, level: int) -> float:
-    """A number in [0, 1) that only depends on the pair and the level."""
-    x = np.full(1, SEED, U64)
-    for part in (a, a_number, b, b_number, level):
-        x = mix(x * U64(3) + np.array([part], np.int64).view(U64))
-    return int(x[0] >> U64(11)) / 2**53
+def _random(keys: np.ndarray, numbers: np.ndarray, level: int) -> np.ndarray:
+    """So many numbers in [0, 1); each depends on a document, on the one that follows, and on the level only."""
+    x = np.full(len(keys), SEED, U64)
+    for part in (keys, numbers, np.roll(keys, -1), np.roll(numbers, -1), np.full(len(keys), level)):
+        with np.errstate(over="ignore"):
+            x = mix(x * U64(3) + part.astype(np.int64).view(U64))
+    return (x >> U64(11)) / 2**53
+
+
+def _whole(x: float) -> float:
+    return 0.0 if x < CLOSE else 1.0 if x > 1 - CLOSE else x
 
 
 def pivot(first: tuple[float, int], second: tuple[float, int], u: float) -> tuple[float, float]:
@@ -60,47 +65,81 @@ def pivot(first: tuple[float, int], second: tuple[float, int], u: float) -> tupl
     (p, s), (q, t) = first, second
     up, down = min((1 - p) * s, q * t), min(p * s, (1 - q) * t)
     move = up if u * (up + down) < down else -down
-    p, q = p + move / s, q - move / t
-    return tuple(0.0 if x < CLOSE else 1.0 if x > 1 - CLOSE else x for x in (p, q))
+    return _whole(p + move / s), _whole(q - move / t)
+
+
+def rounded(words: np.ndarray, parts: np.ndarray, u: np.ndarray, last: bool) -> np.ndarray:
+    """New fractions of a node's documents, which come by falling size; all but one become 0 or 1, and all do where `last`.
+
+    Each document in turn makes a pair with those open ones that follow: what it gets or gives is spread over them by q (1 - q) of each fraction q, so every expectation stays, until it or one of them is 0 or 1. Smaller
+    ones together settle a larger one, so what is left open is small in general. u has a random number for each step. Where `last`, a document that those can't settle both ways goes the way that leaves fewer
+    words wrong, and if words are wrong in the end, the one document or the two (one each way) whose turn leaves fewest are turned.
+    """
+    out, step = np.array(parts, float), 0
+    for i, s in enumerate(words):
+        q, t = out[i + 1 :], words[i + 1 :]
+        while 0 < (p := out[i]) < 1:
+            live = (q > 0) & (q < 1)
+            has, lacks = float((q * t)[live].sum()), float(((1 - q) * t)[live].sum())
+            missing = np.array([(1 - p) * s - has, p * s - lacks])
+            if last and missing.max() > CLOSE * s:
+                up = missing[0] <= missing[1]
+                out[i] = float(up)
+                if up and has:
+                    q[live] *= 1 - min((1 - p) * s / has, 1.0)
+                elif not up and lacks:
+                    q[live] = 1 - (1 - q[live]) * (1 - min(p * s / lacks, 1.0))
+            elif not live.any():
+                break
+            else:
+                share = q * (1 - q)
+                share /= share @ t
+                give, get = 1 / (share[live] / q[live]).max(), 1 / (share[live] / (1 - q[live])).max()
+                out[i], _ = pivot((p, s), (give / (give + get), give + get), u[step])
+                q -= (out[i] - p) * s * share
+                step += 1
+            q[q < CLOSE], q[q > 1 - CLOSE] = 0.0, 1.0
+    return _nearest(words, out, float(words @ parts)) if last else out
+
+
+def _nearest(words: np.ndarray, parts: np.ndarray, goal: float) -> np.ndarray:
+    """Whole fractions whose words are nearest to the goal, from such fractions by a turn of one document or of one each way; as they are, where no turn comes nearer."""
+    off, out = float(words @ parts) - goal, parts.copy()
+    give, get = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+    change = np.append(-words[give], 0)[:, None] + np.append(words[get], 0)
+    i, j = np.unravel_index(np.argmin(np.abs(off + change)), change.shape)
+    if abs(off + change[i, j]) < abs(off) - CLOSE:
+        out[give[i : i + 1]], out[get[j : j + 1]] = 0.0, 1.0
+    return out
 
 
 def _settle(level: int, last: bool):
-    """A pass over sorted nodes; where `last`, a document without partner is rounded to the nearest, which is off by half of its words at most."""
+    """A pass over sorted nodes, of which one is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held = None, None
-        names = _SCHEMA.names
-
-        def done(row: list, part: float, settled: bool) -> list:
-            return [*row[:4], row[4] + (int(part) if settled else 0), 0.0 if settled else part, row[6], settled]
-
-        def alone() -> list:
-            return done(held, float(round(held[5])), True) if last else done(held, held[5], False)
-
-        for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = list(row)
-                if held is not None and (row[0], row[1]) != node:
-                    out.append(alone())
-                    held = None
-                node = (row[0], row[1])
-                if not CLOSE < row[5] < 1 - CLOSE or not row[3]:
-                    out.append(done(row, round(row[5]) if row[3] else 0.0, True))
-                elif held is None:
-                    held = row
-                else:
-                    p, q = pivot((held[5], held[3]), (row[5], row[3]), _random(held[2], held[6], row[2], row[6], level))
-                    mine, other, held = [*held[:5], p, held[6]], [*row[:5], q, row[6]], None
-                    for x in (mine, other):
-                        if x[5] in (0.0, 1.0):
-                            out.append(done(x, x[5], True))
-                        else:
-                            held = x
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out), strict=True)), schema=_SCHEMA)
-        if held is not None:
-            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(alone()), strict=True)), schema=_SCHEMA)
+        held = None
+        for batch in (*batches, None):
+            own = [] if batch is None else [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                own = [np.concatenate(x) for x in zip(held, own, strict=True)] if own else held
+            if not own or not len(own[0]):
+                continue
+            cuts = np.flatnonzero((np.diff(own[0]) != 0) | (np.diff(own[1]) != 0)) + 1
+            ends = [*cuts.tolist(), len(own[0])] if batch is None else cuts.tolist()
+            ready = ends[-1] if ends else 0
+            held = [c[ready:] for c in own]
+            rank, node, key, words, whole, part, number = (c[:ready] for c in own)
+            part = part.copy()
+            begin = 0
+            for end in ends:
+                open_ = begin + np.flatnonzero((part[begin:end] > CLOSE) & (part[begin:end] < 1 - CLOSE) & (words[begin:end] > 0))
+                part[open_] = rounded(words[open_], part[open_], _random(key[open_], number[open_], level), last)
+                begin = end
+            part = np.where(words > 0, np.where(part < CLOSE, 0.0, np.where(part > 1 - CLOSE, 1.0, part)), 0.0)
+            settled = (part == 0.0) | (part == 1.0)
+            if ready:
+                columns = [rank, node, key, words, whole + settled * part.astype(np.int32), np.where(settled, 0.0, part), number, settled]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
     return run
 

@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from tagloom.llm import common, near_duplicates, simhash_dedup
@@ -178,3 +180,69 @@ def test_no_pair_of_documents_is_missed(spark):
     expected = groups([k for k, _ in rows], similar_pairs(rows))
     kept = {r.doc_id for r in near_duplicates.one_of_each(spark, docs, None).collect()}
     assert len(set(expected.values())) < len(rows) and kept == set(expected.values())
+
+
+def flipped(rng, fingerprint, flips):
+    """The fingerprint's bytes with so many bits of each segment flipped."""
+    bits = np.unpackbits(np.frombuffer(fingerprint, np.uint8))
+    for t, n in enumerate(flips):
+        bits[t * near_duplicates.SEGMENT + rng.choice(near_duplicates.SEGMENT, n, replace=False)] ^= 1
+    return np.packbits(bits).tobytes()
+
+
+def test_fingerprints_within_31_bits_meet_in_a_ball_although_no_segment_is_equal(spark):
+    rng = np.random.default_rng(13)
+    rows, expected = [], set()
+    for i in range(300):
+        flips = np.full(near_duplicates.TABLES, 2)
+        flips[i % near_duplicates.TABLES] = 1  # one table only has them in a ball, none has them in one segment
+        x = rng.bytes(near_duplicates.BITS // 8)
+        rows += [(2 * i, x), (2 * i + 1, flipped(rng, x, flips))]
+        expected.add((2 * i, 2 * i + 1))
+    nodes = spark.createDataFrame([(x, bytes(64), 100, k) for k, x in rows], "fingerprint binary, sketch binary, n int, node long").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = {(r.a, r.b) for r in near_duplicates.proposed(nodes).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == expected
+
+
+def sorted_entries(fingerprints):
+    batch = pa.RecordBatch.from_arrays([pa.array(fingerprints, pa.binary()), pa.array(range(len(fingerprints)), pa.int64())], names=["fingerprint", "node"])
+    table = pa.Table.from_batches(near_duplicates._entries(iter([batch])))
+    return table.sort_by([(c, "ascending") for c in ("number", *near_duplicates._PARTS, "node")]).combine_chunks()
+
+
+def in_balls(table, rows, crowd=near_duplicates.NEIGHBOURS + 1):
+    return {(a, b) for out in near_duplicates._balls(crowd)(iter(table.to_batches(rows))) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+
+
+@pytest.mark.parametrize("rows", [1, 7, 400, 10**6])
+def test_balls_by_brute_force_wherever_batches_end(rows):
+    rng = np.random.default_rng(14)
+    bases = [rng.bytes(near_duplicates.BITS // 8) for _ in range(8)]
+    fingerprints = [flipped(rng, bases[i % 8], rng.integers(0, 4, near_duplicates.TABLES)) for i in range(40)]
+    bits = np.array([np.unpackbits(np.frombuffer(x, np.uint8)) for x in fingerprints])
+    segments = bits[:, : near_duplicates.TABLES * near_duplicates.SEGMENT].reshape(len(bits), near_duplicates.TABLES, -1)
+    carried = np.concatenate([bits, bits[:, : near_duplicates.CARRIED]], axis=1)
+    expected = set()
+    for a in range(len(bits)):
+        for b in range(a + 1, len(bits)):
+            for t in range(near_duplicates.TABLES):
+                own = carried[[a, b], t * near_duplicates.SEGMENT :][:, : near_duplicates.CARRIED]
+                if (segments[a, t] != segments[b, t]).sum() <= 1 and (own[0] != own[1]).sum() <= near_duplicates.LIKELY:
+                    expected.add((a, b))
+    assert len(expected) > 50 and in_balls(sorted_entries(fingerprints), rows, 40) == expected
+
+
+def test_crowded_segments_give_bounded_pairs():
+    rng = np.random.default_rng(15)
+    base = rng.bytes(near_duplicates.BITS // 8)
+    beside = flipped(rng, base, [1] * near_duplicates.TABLES)
+    tail = lambda x: x[:42] + rng.bytes(6)  # noqa: E731 - the bits behind the last segment
+    found = in_balls(sorted_entries([tail(base) for _ in range(1000)] + [tail(beside) for _ in range(1000)] + [tail(flipped(rng, base, [0] + [2] * 15))]), 10_000)
+    assert len(found) <= 2001 * near_duplicates.TABLES * near_duplicates.NEIGHBOURS + 1000
+    linked = groups(range(2001), found)
+    assert set(linked.values()) == {0}  # crowds hang together, and so do two in each other's ball

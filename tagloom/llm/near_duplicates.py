@@ -5,6 +5,9 @@ fingerprints. No two segments of a 64-bit fingerprint are then likely to agree,
 segments of 21 bits is a table of its own, in which the Hamming ball of radius one around each segment is looked up. Fingerprints that
 differ in 31 bits at most meet in one of the tables; at a similarity of 0.8 some 93% do by the binomial law, against 41% by equal segments.
 
+Before that, entries that follow each other in a table are compared if they share their segment: 16 pairs for each fingerprint at most, however large its group. Those that are similar hold most groups together,
+and the balls then only give pairs of fingerprints that aren't in one group yet; another pair couldn't change a group. So near copies aren't expanded into the many pairs that they have in balls.
+
 No ball is written out. Each table is sorted twice, by the segment and by the segment with its two parts exchanged, followed by the
 bits behind it: segments that differ in one bit agree in one of the parts, so they are in one block of one of the two orders, and the ball is looked up there.
 Segments with few fingerprints give all pairs. In a crowded one a fingerprint is compared with the next `NEIGHBOURS` of its own segment, one of a segment with few with the two that are nearest
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +43,14 @@ LANES, TABLES, SEGMENT, NEIGHBOURS = 6, 16, 21, 3
 BITS = 64 * LANES
 #: The bits of a segment that come first in the first order of its table; the others do in the second.
 FRONT = 11
-#: An entry carries so many bits from its segment on. Of those, a pair at similarity 0.8 differs in 18 with a standard error of 3.9; beyond this many the tables don't propose it.
+#: Entries are first held to so many bits from their segment on. Of those, a pair at similarity 0.8 differs in 18 with a standard error of 3.9; beyond this many the tables don't propose it.
 CARRIED, LIKELY = 128, 36
 #: A parity sketch has at least four bits for each hash of its set, within these bounds (powers of two).
 SKETCH_LEAST, SKETCH_MOST = 512, 1 << 14
 
-#: Pairs of the tables with a lower estimate aren't verified.
+#: Pairs of the tables with a lower estimate aren't verified. Sets of any size that differ in more bits have a lower one.
 LOOSE = 0.7
+LOOSE_BITS = math.floor(BITS / math.pi * math.acos(2 * LOOSE / (1 + LOOSE)))
 #: A unit has about so many pairs of one text at most.
 BLOCK = 256
 #: Frequent hashes are those of so many texts of a sample of one text in SAMPLE; so many of them at most are kept. As the sample grows with the texts, groups of texts that share a rarer hash don't. This only
@@ -115,24 +120,26 @@ def _prints(shingle: int):
     return run
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two entries for each table: number is twice the table's, one more for the second order."""
+def _entries(batches: Iterator[pa.RecordBatch], numbers: range = range(2 * TABLES)) -> Iterator[pa.RecordBatch]:
+    """Two entries for each table: number is twice the table's, one more for the second order. Columns besides the fingerprint go along."""
     for batch in batches:
         if not batch.num_rows:
             continue
         raw = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), np.uint8).reshape(-1, BITS // 8)
         bits = np.unpackbits(raw, axis=1)
-        bits = np.concatenate([bits, bits[:, :CARRIED]], axis=1)
-        for number in range(2 * TABLES):
-            own = bits[:, number // 2 * SEGMENT :][:, :CARRIED]
+        bits = np.concatenate([bits, bits], axis=1)
+        rest = [c for c in batch.schema.names if c != "fingerprint"]
+        for number in numbers:
+            own = bits[:, number // 2 * SEGMENT :][:, :BITS]
             if number % 2:
                 own = np.concatenate([own[:, FRONT:SEGMENT], own[:, :FRONT], own[:, SEGMENT:]], axis=1)
             order = np.packbits(own, axis=1).view(">u8").astype(U64) ^ U64(1 << 63)
             columns = [np.full(len(order), number, np.int32), *order.view(np.int64).T]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column("node")], names=["number", *_PARTS, "node"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *map(batch.column, rest)], names=["number", *_PARTS, *rest])
 
 
-_PARTS = [f"part_{i}" for i in range(CARRIED // 64)]
+#: The whole fingerprint from the segment on.
+_PARTS = [f"part_{i}" for i in range(BITS // 64)]
 #: An entry's number and its first bits make one key of 64 bits; below the segment it has so many.
 _NUMBER = (2 * TABLES - 1).bit_length()
 _BELOW = 64 - _NUMBER - SEGMENT
@@ -140,6 +147,24 @@ _BELOW = 64 - _NUMBER - SEGMENT
 _BLOCK = SEGMENT - FRONT
 
 
+def _following(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes whose entries follow each other, share their segment and can be similar enough by their first bits."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(c).to_numpy() for c in ("number", *_PARTS[: CARRIED // 64], "node")]
+        if held is not None:
+            own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+        number, *parts, node = own
+        segment = parts[0] >> (64 - SEGMENT)
+        keep = (number[1:] == number[:-1]) & (segment[1:] == segment[:-1])
+        keep &= sum(np.bitwise_count(p[1:].view(U64) ^ p[:-1].view(U64)).astype(int) for p in parts) <= LIKELY
+        a, b = node[:-1][keep], node[1:][keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        held = [x[-1:] for x in own]
+
+
 def _meeting(key: np.ndarray, crowd: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of entries whose segments are in each other's ball, given the sorted keys of whole blocks."""
     entry = key >> U64(_BELOW)
@@ -174,15 +199,20 @@ def _meeting(key: np.ndarray, crowd: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def _balls(crowd: int):
-    """Pairs of nodes that meet in a ball and can be similar enough by the bits that they carry. Entries come in order; a segment with more than `crowd` fingerprints is a crowd."""
+    """Pairs of nodes, of different components where entries have one, that meet in a ball and can be similar enough by their first bits and by all. Entries come in order; a segment with more than `crowd` fingerprints
+    is a crowd."""
 
     def pairs(number: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-        *parts, node = columns
+        *parts, node, component = columns
         parts = [p.view(U64) for p in parts]
         key = number.astype(U64) << U64(64 - _NUMBER) | (parts[0] ^ U64(1 << 63)) >> U64(_NUMBER)
         found = [np.zeros((2, 0), np.int64)]
         for i, j in _meeting(key, crowd):
-            keep = sum(np.bitwise_count(p[i] ^ p[j]).astype(int) for p in parts) <= LIKELY
+            apart = component[i] != component[j]
+            i, j = i[apart], j[apart]
+            first = sum(np.bitwise_count(p[i] ^ p[j]).astype(int) for p in parts[: CARRIED // 64])
+            i, j, first = (x[first <= LIKELY] for x in (i, j, first))
+            keep = first + sum(np.bitwise_count(p[i] ^ p[j]).astype(int) for p in parts[CARRIED // 64 :]) <= LOOSE_BITS
             found.append(np.stack([node[i[keep]], node[j[keep]]]))
         a, b = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -192,7 +222,7 @@ def _balls(crowd: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(c).to_numpy() for c in ("number", *_PARTS, "node")]
+            own = [batch.column(c).to_numpy() for c in ("number", *_PARTS, "node", "component" if "component" in batch.schema.names else "node")]
             block = own[0].astype(np.int64) << _BLOCK | (own[1] >> (64 - _BLOCK)) + (1 << _BLOCK - 1)
             cut = int(np.searchsorted(block, block[-1]))
             if held and (cut or last != block[0]):
@@ -269,7 +299,7 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     pairs = checkpointed(pairs)
     paired = sent(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))))
     units = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("units"))
-    dealt = pairs.join(units, "a").select("a", "b", F.pmod(F.xxhash64("b"), "units").alias("unit"))
+    dealt = checkpointed(pairs.join(units, "a").select("a", "b", F.pmod(F.xxhash64("b"), "units").alias("unit")))  # for both sides
     texts = docs.select("key", "text").join(paired, "key", "left_semi")
     left = texts.join(dealt.select("a", "unit").distinct(), F.col("key") == F.col("a")).select("unit", "a", F.lit(None).cast("long").alias("b"), "text")
     right = texts.join(dealt, F.col("key") == F.col("b")).select("unit", "a", "b", "text")
@@ -277,14 +307,31 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return checkpointed(in_arrow(rows, _similar(shingle, similarity), "a long, b long").distinct())
 
 
-def proposed(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs of nodes (checkpointed: fingerprint, sketch, n, node) that meet in a ball of one of the tables and are plausible by all bits."""
+def _tables(nodes: DataFrame, numbers: range, bits: int, *columns: str) -> DataFrame:
+    """The entries with those numbers in order, each with so many bits and those columns of its node (fingerprint and numbers)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crowd = NEIGHBOURS + 1 + (2 * nodes.count() >> SEGMENT)  # more than chance brings together
-    entries = in_arrow(nodes.select("fingerprint", "node"), _entries, f"number int, {', '.join(f'{p} long' for p in _PARTS)}, node long")
+    schema = f"number int, {', '.join(f'{c} long' for c in (*_PARTS, *columns))}"
+    entries = in_arrow(nodes.select("fingerprint", *columns), partial(_entries, numbers=numbers), schema)
     order = ("number", *_PARTS[:2], "node")
-    tables = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    pairs = in_arrow(tables, _balls(crowd), "a long, b long").where("a != b").distinct()
+    return entries.select("number", *_PARTS[: bits // 64], *columns).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def chained(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs of nodes (checkpointed: fingerprint, sketch, n, node) that follow each other in one of the tables, share its segment and are plausible by all bits: TABLES for each node at most."""
+    pairs = in_arrow(_tables(nodes, range(0, 2 * TABLES, 2), CARRIED, "node"), _following, "a long, b long").where("a != b").distinct()
+    return plausible(pairs, nodes, similarity, LOOSE)
+
+
+def proposed(nodes: DataFrame, similarity: float = SIMILARITY, grouped: DataFrame | None = None) -> DataFrame:
+    """Pairs of nodes (checkpointed: fingerprint, sketch, n, node) that meet in a ball of one of the tables and are plausible by all bits.
+
+    grouped (checkpointed): node and component of nodes that aren't their own component; if given, pairs of one component, which can't change it, are left out.
+    """
+    crowd = NEIGHBOURS + 1 + (2 * nodes.count() >> SEGMENT)  # more than chance brings together
+    own, columns = nodes, ["node"]
+    if grouped is not None:
+        own, columns = nodes.join(sent(grouped), "node", "left").withColumn("component", F.coalesce("component", "node")), ["node", "component"]
+    pairs = in_arrow(_tables(own, range(2 * TABLES), BITS, *columns), _balls(crowd), "a long, b long").where("a != b").distinct()
     return plausible(pairs, nodes, similarity, LOOSE)
 
 
@@ -388,13 +435,18 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, similarit
     """key and component (the smallest key of a group) of each distinct key of docs (doc_id, text).
 
     Texts belong to a group if a chain of pairs with at least that similarity links them. Equal sets of shingles always do; so do all texts without words. Null texts have no words; rows
-    without doc_id share one key, and rows that share a key are one document. All pairs are found, up to collisions of 64-bit hashes: first by the tables, then by prefixes.
+    without doc_id share one key, and rows that share a key are one document. All links between groups are found, up to collisions of 64-bit hashes: first by the tables, then by prefixes.
     """
     held = ids_and_texts(docs).select("key", "text")
     found = _members(held, shingle, similarity)
     return held.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
 
 
+def _stars(grouped: DataFrame) -> DataFrame:
+    """One link of each grouped node to its smallest stands for all pairs of its group, which needn't be joined again."""
+    return grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _members(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Of docs (key, text) each key that isn't the smallest of its group, and component, the smallest."""
     prints = checkpointed(in_arrow(docs, _prints(shingle), "key long, fingerprint binary, sketch binary, n int, digest long"))
@@ -402,16 +454,15 @@ def _members(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     same = prints.drop("sketch").join(nodes.drop("sketch"), ["fingerprint", "n", "digest"]).where("key != node").select(F.col("key").alias("a"), F.col("node").alias("b"))
     same = checkpointed(same)
     copies = checkpointed(same.select(F.col("a").alias("key")).join(nodes.select(F.col("node").alias("key")), "key", "left_anti"))
-    near = verified(docs, proposed(nodes, similarity), shingle, similarity)
-    grouped = components(near)
+    grouped = components(verified(docs, chained(nodes, similarity), shingle, similarity))
+    near = verified(docs, proposed(nodes, similarity, grouped), shingle, similarity)
+    grouped = components(_stars(grouped).unionByName(near))
     missed = plausible(met(docs, copies, grouped, shingle, similarity), nodes, similarity)
     # a copy with one node and no other link goes where its node, a smaller key, goes: it needn't take part in the rounds
     ends = same.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("links")).where("links = 1").drop("links")
     ends = checkpointed(ends.join(copies.withColumnRenamed("key", "a"), "a", "left_semi"))
     others = same.join(ends, "a", "left_anti")
-    # one link of each grouped node to its smallest stands for all pairs of its group, which needn't be joined again
-    stars = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components(stars.unionByName(verified(docs, missed, shingle, similarity)).unionByName(others))
+    found = components(_stars(grouped).unionByName(verified(docs, missed, shingle, similarity)).unionByName(others))
     follow = ends.join(found.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
     return found.unionByName(follow).withColumnRenamed("node", "key")
 

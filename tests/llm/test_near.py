@@ -246,3 +246,45 @@ def test_crowded_segments_give_bounded_pairs():
     assert len(found) <= 2001 * near_duplicates.TABLES * near_duplicates.NEIGHBOURS + 1000
     linked = groups(range(2001), found)
     assert set(linked.values()) == {0}  # crowds hang together, and so do two in each other's ball
+
+
+def test_pairs_that_near_copies_give_grow_no_faster_than_their_group(spark, monkeypatch):
+    random.seed(16)
+    word = lambda: f"w{random.randrange(90_000)}"
+    base = [word() for _ in range(200)]
+    rows = []
+    for k in range(600):
+        words = list(base)
+        for _ in range(random.randint(1, 3)):
+            words[random.randrange(len(words))] = word()
+        rows.append((k, " ".join(words)))
+    given, plausible = [], near_duplicates.plausible
+
+    def counted(pairs, *args):
+        pairs = common.checkpointed(pairs)
+        given.append(pairs.count())
+        return plausible(pairs, *args)
+
+    monkeypatch.setattr(near_duplicates, "plausible", counted)
+    for n in (300, 600):
+        given.clear()
+        found = {r.key: r.component for r in near_duplicates.near_duplicate_components(frame(spark, rows[:n])).collect()}
+        assert found == groups(range(n), similar_pairs(rows[:n]))
+        assert sum(given) <= near_duplicates.TABLES * n, given
+
+
+def test_balls_leave_out_pairs_of_one_component_only(spark):
+    rng = np.random.default_rng(17)
+    bases = [rng.bytes(near_duplicates.BITS // 8) for _ in range(6)]
+    rows = [(k, flipped(rng, bases[k % 6], rng.integers(0, 3, near_duplicates.TABLES))) for k in range(60)]
+    nodes = spark.createDataFrame([(x, bytes(64), 100, k) for k, x in rows], "fingerprint binary, sketch binary, n int, node long").coalesce(1)
+    component = {k: k % 6 + 6 * (k % 4 // 2) for k, _ in rows}
+    grouped = spark.createDataFrame([(k, c) for k, c in component.items() if k != c], "node long, component long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        every, some = ({(r.a, r.b) for r in near_duplicates.proposed(nodes, grouped=g).collect()} for g in (None, grouped))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    apart = {(a, b) for a, b in every if component[a] != component[b]}
+    assert some == apart and len(every) > len(apart) > 20

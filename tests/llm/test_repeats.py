@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from tagloom.llm import substring_dedup, suffix_array_dedup
+from tagloom.llm import common, repeats, substring_dedup, suffix_array_dedup
 from tagloom.llm.induced import suffix_order
 from tagloom.llm.repeats import Windows, repeated_windows
 from tagloom.llm.subtrees import subtree
@@ -203,3 +205,45 @@ def test_long_texts_are_cut_without_losing_windows(monkeypatch):
     cut = repeats.segments(BYTE_VALUES[data], np.array([0, 5000]), spec)
     anchors = [np.repeat(x["prefix"], x["run"] & ((1 << spec.count_bits) - 1)) for x in (whole, cut)]
     assert len(anchors[0]) == 5000 - 23 and (anchors[0] == anchors[1]).all()  # each window has the anchor that it has in the whole text
+
+
+def test_words_hashed_in_pieces_have_the_values_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in [*rng.integers(1, 12, 400), 90, 1500, 3, 2000]]
+    data = np.frombuffer(b"  ".join([b"", *words, b""]), np.uint8)
+    starts, ends, _ = common.word_spans(data, np.array([0, len(data)]))
+    whole = common.RangeHash(common.BYTE_VALUES[data]).of(starts, ends)
+    for size in (1, 64, 1000, 1 << 18):
+        monkeypatch.setattr(common, "CHUNK_BYTES", size)
+        assert (common.word_values(data, starts, ends) == whole).all()
+    assert len(common.word_values(data, starts[:0], ends[:0])) == 0
+
+
+def test_a_shard_is_compared_in_little_memory():
+    """2.6 MB of words in 3000 segments of 10 prefixes, as one task compares them; with the hash tables of all words at once it took 44 bytes for each byte of text."""
+    rng = np.random.default_rng(5)
+    vocabulary = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in rng.integers(4, 16, 500)]
+    base = rng.integers(0, 500, (300, 84))
+    contents = []
+    for i in range(3000):
+        of = base[i // 10].copy()
+        of[-1 - i % 10] = i % 500
+        contents.append(b" ".join(vocabulary[j] for j in of))
+    n = len(contents)
+    columns = {"prefix": np.arange(n) // 300, "salt": np.zeros(n, int), "key": np.arange(n), "start": np.zeros(n, int), "windows": np.full(n, 35), "content": contents}
+    shard = pa.RecordBatch.from_pydict({k: pa.array(v, repeats._REQUEST_SCHEMA.field(k).type) for k, v in columns.items()}, schema=repeats._REQUEST_SCHEMA)
+    spec = Windows(width=50, gram=16, words=True, within=False)
+    tracemalloc.start()
+    try:
+        found = [x for b in repeats._resolved(spec, substring_dedup._resolve(50))(iter([shard])) for x in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    first, gone = {}, set()
+    for key, content in enumerate(contents):
+        words = content.split()
+        for i in range(35):
+            if first.setdefault(tuple(words[i : i + 50]), key) < key:
+                gone.add((key, i))
+    assert {(x["key"], i) for x in found for i in range(x["start"], x["start"] + x["windows"])} == gone
+    assert peak < 28 * sum(map(len, contents)), peak / sum(map(len, contents))
